@@ -23,7 +23,8 @@ def pages_to_mb(pages: Column) -> Column:
 
 
 def minutes_from_ms(ms: Column) -> Column:
-    return (ms / F.lit(1000.0) / F.lit(60.0)).cast("decimal(10,2)")
+    """Milliseconds as minutes with two digits, half up, in exact decimals."""
+    return (ms.cast("decimal(20,0)") / F.lit(60000).cast("decimal(5,0)")).cast("decimal(10,2)")
 
 
 def key_limit(bits: int) -> Column:

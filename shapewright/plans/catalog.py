@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shapewright.plans import queries_relational  # noqa: F401
+from shapewright.plans import queries_changes, queries_relational, queries_reports, queries_streams  # noqa: F401
 from shapewright.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
