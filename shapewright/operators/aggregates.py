@@ -79,8 +79,10 @@ def ordered_list_parts(
 
 def pivot_count(df: DataFrame, keys: list[str], column: str, headers: list) -> DataFrame:
     """COUNT of rows per key and header value; absent cells are 0."""
-    cells = [F.count_if(F.col(column) == F.lit(h)).alias(str(h)) for h in headers]
-    return df.groupBy(*keys).agg(*cells) if cells else df.select(*keys).distinct()
+    if not headers:
+        return df.select(*keys).distinct()
+    cells = df.groupBy(*keys).pivot(column, headers).agg(F.count(F.lit(1)))
+    return cells.fillna(0, [c for c in cells.columns if c not in keys])
 
 
 def header_values(df: DataFrame, column: str, order_by: list[Column] | None = None, cap: int = 1000) -> list:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from shapewright.session import settle
 
 SLICE_BITS = 33  # monotonically_increasing_id keeps the partition above, the row below this bit
+COPY_BLOCK = 100_000  # copies of one row that are written out by one step
 HOT_ROWS = 5_000_000  # a group above this is split over tasks instead of put in one window
 
 
@@ -21,33 +22,62 @@ def _columns(items) -> list[Column]:
     return [F.col(i) if isinstance(i, str) else i for i in items]
 
 
-def number_rows(df: DataFrame, order_by, name: str = "row_no") -> DataFrame:
+def number_rows(df: DataFrame, order_by, name: str = "row_no", copies: bool = False) -> DataFrame:
     """Adds ``name`` = 1, 2, 3 ... over the whole table in the given order.
 
     Ties are broken by all columns in schema order, so the numbering is repeatable up to rows that
-    are equal in every column; those are spread by their input position, so that a table full of
-    copies does not end up in one slice.
+    are equal in every column. Such copies sort into one slice; where they may be many, ``copies``
+    counts them before the sort and deals their numbers out afterwards.
     """
-    ties = [F.col(f"`{f.name}`") for f in df.schema.fields if "map" not in f.dataType.simpleString()]
-    order = _columns(order_by) + ties
-    sliced = (
-        df.withColumn("_seen", F.monotonically_increasing_id())
-        .repartitionByRange(*order, F.col("_seen"))
-        .sortWithinPartitions(*order, F.col("_seen"))
-        .drop("_seen")
-        .withColumn("_at", F.monotonically_increasing_id())
-    )
-    placed = settle(sliced, "numbered").withColumn("_slice", F.shiftright("_at", SLICE_BITS))
+    if copies:
+        return _number_copies(df, order_by, name)
+    placed = _slices(df, order_by)
     sizes = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per slice: the window and the broadcast are bounded by the shuffle partition count
-    starts = sizes.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
     place = F.col("_at").bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
-    return placed.join(F.broadcast(starts), "_slice").select(
+    return placed.join(F.broadcast(_starts(sizes)), "_slice").select(
         *[F.col(f"`{c}`") for c in df.columns], (F.col("_start") + place + 1).alias(name)
     )
 
 
+def _slices(df: DataFrame, order_by, but: tuple[str, ...] = ()) -> DataFrame:
+    """The rows, settled, with their slice of the order (_slice) and a number that rises in it (_at)."""
+    ties = [f.name for f in df.schema.fields if f.name not in but and "map<" not in f.dataType.simpleString()]
+    order = _columns(order_by) + [F.col(f"`{c}`") for c in ties]
+    sliced = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settle(sliced.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    return placed.withColumn("_slice", F.shiftright("_at", SLICE_BITS))
+
+
+def _starts(sizes: DataFrame) -> DataFrame:
+    """Rows before each slice. One row per slice, so window and broadcast are bounded by the partition count."""
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select("_slice", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+
+
+def _number_copies(df: DataFrame, order_by, name: str) -> DataFrame:
+    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_copies"))
+    placed = _slices(counted, order_by, but=("_copies",))
+    sizes = placed.groupBy("_slice").agg(F.sum("_copies").alias("_rows"))
+    before = Window.partitionBy("_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum("_copies").over(before), F.lit(0))
+    first = placed.withColumn("_inside", inside).join(F.broadcast(_starts(sizes)), "_slice")
+    first = first.withColumn("_first", F.col("_start") + F.col("_inside") + 1)
+    rows = [F.col(f"`{c}`") for c in df.columns]
+    few = first.filter(F.col("_copies") <= COPY_BLOCK).select(
+        *rows, F.explode(F.expr("sequence(_first, _first + _copies - 1)")).alias(name)
+    )
+    # a row held very often is first cut into blocks, which are spread before they are written out
+    blocks = first.filter(F.col("_copies") > COPY_BLOCK).select(
+        *rows,
+        (F.col("_first") + F.col("_copies") - 1).alias("_last"),
+        F.explode(F.expr(f"sequence(_first, _first + _copies - 1, {COPY_BLOCK})")).alias("_from"),
+    )
+    many = blocks.repartition("_from").select(
+        *rows, F.explode(F.expr(f"sequence(_from, least(_last, _from + {COPY_BLOCK} - 1))")).alias(name)
+    )
+    return few.unionByName(many)
+
+
 def dense_rank_all(df: DataFrame, value: str, name: str = "rank", descending: bool = True) -> DataFrame:
     """DENSE_RANK over the whole table; NULL ranks last when descending, first when ascending.
 

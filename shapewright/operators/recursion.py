@@ -65,7 +65,7 @@ def closure(
     edges = edges.select(F.col(parent).alias("_p"), F.col(child).alias("_c")).distinct()
     looped = edges.filter(F.col("_p") == F.col("_c")).select(F.col("_p").alias("_self"))
     walkable = settle(edges.join(looped, edges["_p"] == looped["_self"], "left_anti"), "edges")
-    parents = walkable.select(F.col("_p").alias(name)).distinct()
+    parents = settle(walkable.select(F.col("_p").alias(name)).distinct(), "parents")
     level = settle(
         edges.filter(F.col("_p") == F.lit(start)).select(F.col("_p").alias(name)).distinct().withColumn("level", F.lit(0)),
         "level",

@@ -125,11 +125,12 @@ def execution_errors(
     """
     last = top_rows(only(executions, "project_name", project), F.col("execution_id").desc(), runs)
     hit = lambda c: contains_text(F.col(c), pattern, case_insensitive)
-    recent = with_match(messages, last, {"operation_id": "execution_id"})
+    # each log is cut to the few runs before the logs meet
+    of_last = lambda df: with_match(df, last, {"operation_id": "execution_id"})
     found = (
-        recent.filter(hit("message"))
-        .join(events.filter(~hit("package") & ~hit("path")), ["operation_id", "message_id"])
-        .join(operations, "operation_id", "left")
+        of_last(messages.filter(hit("message")))
+        .join(of_last(events.filter(~hit("package") & ~hit("path"))), ["operation_id", "message_id"])
+        .join(of_last(operations), "operation_id", "left")
         .join(last, F.col("operation_id") == last["execution_id"])
         .drop("execution_id")
     )

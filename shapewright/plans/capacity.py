@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shapewright.functions.numeric import key_limit, pages_to_mb, share_used
 from shapewright.operators.sets import append_all
+from shapewright.session import settle
 
 KEY_BITS = {"tinyint": 8, "smallint": 16, "int": 32, "bigint": 64}  # fixed values
 SPLIT_HEADROOM = 8_000_000  # fixed value: below this many free ids a range is to be split
@@ -69,40 +70,41 @@ def range_partitions(
     """
     spark = df.sparkSession
     if every:
-        top = df.agg(F.max(key)).first()[0]
-        last = max(int(top) // every, 0) if top is not None else 0
-        ordinal = F.greatest(F.expr(f"(CASE WHEN `{key}` < 0 THEN 0 ELSE `{key}` div {every} END) + 1"), F.lit(1))
-        ordinal = F.when(F.col(key).isNotNull(), ordinal)
+        ordinal = F.expr(f"CASE WHEN `{key}` < 0 THEN 1 ELSE `{key}` div {every} + 1 END")
+    else:
+        bounds = sorted(bounds)
+        ordinal = range_ordinal(F.col(key), bounds)
+    # one pass over the table; everything else is read from the counts
+    counts = settle(
+        df.select(ordinal.cast("long").alias("_no"), F.col(key).cast("long").alias("_key"))
+        .filter(F.col("_no").isNotNull())
+        .groupBy("_no")
+        .agg(F.count(F.lit(1)).alias("_rows"), F.max("_key").alias("_top")),
+        "ranges",
+    )
+    top_key = counts.agg(F.max("_top")).first()[0]
+    if every:
+        last = max(top_key // every, 0) if top_key is not None else 0
+        top_bound = last * every if last else None
         ranges = spark.range(1, last + 2).select(
             F.col("id").alias("range_no"),
             F.when(F.col("id") > 1, (F.col("id") - 1) * every).alias("lower_bound"),
             F.when(F.col("id") <= last, F.col("id") * every).alias("upper_bound"),
         )
     else:
-        bounds = sorted(bounds)
-        ordinal = range_ordinal(F.col(key), bounds)
-        rows = [
-            (at + 1, bounds[at - 1] if at else None, bounds[at] if at < len(bounds) else None)
-            for at in range(len(bounds) + 1)
-        ]
+        top_bound = bounds[-1] if bounds else None
+        rows = list(zip(range(1, len(bounds) + 2), [None, *bounds], [*bounds, None]))
         ranges = spark.createDataFrame(rows, "range_no long, lower_bound long, upper_bound long")
-    counts = (
-        df.select(ordinal.cast("long").alias("_no"), F.col(key).cast("long").alias("_key"))
-        .groupBy("_no")
-        .agg(F.count(F.lit(1)).alias("_rows"), F.max("_key").alias("_top"))
-    )
-    top_key = counts.agg(F.max("_top")).scalar()
-    top_bound = ranges.agg(F.max("upper_bound")).scalar()
-    left = top_bound - top_key
+    left = None if top_key is None or top_bound is None else top_bound - top_key
     return ranges.join(counts, ranges["range_no"] == counts["_no"], "left").select(
         "range_no",
         "lower_bound",
         "upper_bound",
         F.coalesce("_rows", F.lit(0)).alias("rows"),
         F.col("upper_bound").isNull().alias("is_open"),
-        top_key.alias("max_key"),
-        left.alias("headroom"),
-        (left < headroom).alias("needs_split"),
+        F.lit(top_key).cast("long").alias("max_key"),
+        F.lit(left).cast("long").alias("headroom"),
+        (F.lit(left).cast("long") < headroom).alias("needs_split"),
     )
 
 

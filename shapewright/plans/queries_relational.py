@@ -29,7 +29,7 @@ from shapewright.operators.joins import (
     rows_at_group_max,
     values_in_runs,
 )
-from shapewright.operators.numbering import dense_rank_all, lag_lead, ntile_in_groups, number_rows
+from shapewright.operators.numbering import HOT_ROWS, dense_rank_all, lag_lead, ntile_in_groups, number_rows
 from shapewright.operators.ranking import latest_or_null, latest_per_key, top_per_group, top_rows
 from shapewright.operators.recursion import closure, descend, paths
 from shapewright.operators.sets import append_all, union_distinct, union_sources
@@ -280,6 +280,46 @@ def ntile_lag_lead(t):
     return both.select("event_id", "tile", "before", "after")
 
 
+@query(
+    """SELECT event_id, lag(event_id) OVER w AS before, lead(value) OVER w AS after
+    FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)"""
+)
+def lag_lead_hot_groups(t):
+    """Few groups, each a good part of the table, so the rows are numbered and joined, not put in windows."""
+    rows = t.events.select("event_id", "event_type", "ts", "value")
+    hot = min(HOT_ROWS, rows.count() // 10)
+    pairs = lag_lead(rows, ["event_type"], ["ts", "event_id"], {"before": "event_id"}, {"after": "value"}, hot)
+    return pairs.select("event_id", "before", "after")
+
+
+@query(
+    """SELECT o_orderkey, ntile(100) OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) AS tile FROM orders"""
+)
+def ntile_hot_groups(t):
+    rows = t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice")
+    hot = min(HOT_ROWS, rows.count() // 10)
+    tiled = ntile_in_groups(rows, ["o_orderstatus"], ["o_totalprice", "o_orderkey"], 100, hot_rows=hot)
+    return tiled.select("o_orderkey", "tile")
+
+
+@query("SELECT c_nationkey, row_number() OVER (ORDER BY c_nationkey) AS row_no FROM customer")
+def surrogate_key_copies(t):
+    return number_rows(t.customer.select("c_nationkey"), "c_nationkey", copies=True)
+
+
+@query(
+    """SELECT max(o_totalprice) AS top, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total, count(*) AS rows,
+    count(DISTINCT o_custkey) AS customers FROM orders"""
+)
+def global_aggregates(t):
+    return t.orders.agg(
+        F.max("o_totalprice").alias("top"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"),
+        F.count(F.lit(1)).alias("rows"),
+        F.countDistinct("o_custkey").alias("customers"),
+    )
+
+
 @query("SELECT row_number() OVER (ORDER BY p_name, p_partkey) AS row_no, p_partkey, p_name FROM part")
 def surrogate_key(t):
     return number_rows(t.part.select("p_partkey", "p_name"), ["p_name", "p_partkey"])

@@ -32,6 +32,7 @@ from shapewright.plans.catalogue import (
 )
 from shapewright.plans.queries_relational import PRIORITIES, WITH_PARENT, with_parent
 from shapewright.plans.registry import query
+from shapewright.session import settle
 from shapewright.sources.tables import column_profile, profile_tables
 
 AS_OF = "2024-01-31"
@@ -447,7 +448,8 @@ def customer_lines(t):
 )
 def event_waits(t):
     rows = t.events.select("event_id", "user_id", "event_type", "ts", "props")
-    chained = lag_lead(rows, ["props"], ["ts", "event_id"], {"holder": "user_id"})
+    # read twice below
+    chained = settle(lag_lead(rows, ["props"], ["ts", "event_id"], {"holder": "user_id"}))
     waits = chained.select(
         F.col("event_id").alias("resource"), F.col("user_id").alias("session_id"), F.col("event_type").alias("mode")
     )
