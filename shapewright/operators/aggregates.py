@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from shapewright.functions.numeric import safe_ratio
 from shapewright.operators.numbering import HOT_ROWS, number_in_groups
 from shapewright.operators.ranking import top_rows
+from shapewright.session import settle
 
 
 def second_highest(df: DataFrame, value: str, name: str = "second_highest") -> DataFrame:
@@ -79,9 +80,31 @@ def ordered_list_parts(
 
 def pivot_count(df: DataFrame, keys: list[str], column: str, headers: list) -> DataFrame:
     """COUNT of rows per key and header value; absent cells are 0."""
+    return _spread(df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_rows")), keys, column, headers)
+
+
+def pivot_dynamic(
+    df: DataFrame, keys: list[str], column: str, order_by: list[Column] | None = None, cap: int = 1000
+) -> DataFrame:
+    """pivot_count with the headers taken from the data; the table is read once."""
+    return spread_counts(settled_counts(df, keys, column), keys, column, order_by, cap)
+
+
+def settled_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Rows per key and header value, written down because headers and cells are both read from them."""
+    return settle(df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_rows")), "counts")
+
+
+def spread_counts(
+    counts: DataFrame, keys: list[str], column: str, order_by: list[Column] | None = None, cap: int = 1000
+) -> DataFrame:
+    return _spread(counts, keys, column, header_values(counts, column, order_by, cap))
+
+
+def _spread(counts: DataFrame, keys: list[str], column: str, headers: list) -> DataFrame:
     if not headers:
-        return df.select(*keys).distinct()
-    cells = df.groupBy(*keys).pivot(column, headers).agg(F.count(F.lit(1)))
+        return counts.select(*keys).distinct()
+    cells = counts.groupBy(*keys).pivot(column, headers).agg(F.sum("_rows"))
     return cells.fillna(0, [c for c in cells.columns if c not in keys])
 
 
@@ -94,13 +117,6 @@ def header_values(df: DataFrame, column: str, order_by: list[Column] | None = No
     return found
 
 
-def pivot_dynamic(
-    df: DataFrame, keys: list[str], column: str, order_by: list[Column] | None = None, cap: int = 1000
-) -> DataFrame:
-    """pivot_count with the headers taken from the data."""
-    return pivot_count(df, keys, column, header_values(df, column, order_by, cap))
-
-
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], names: str = "name", values: str = "value"):
     """One row per key and column; NULL cells are left out, as UNPIVOT does."""
     return df.unpivot(keys, columns, names, values).filter(F.col(values).isNotNull())

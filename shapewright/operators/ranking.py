@@ -13,20 +13,24 @@ TAKE_ROWS = 10_000  # up to here an ordered limit is one TakeOrderedAndProject
 def top_per_group(df: DataFrame, by: list[str], value: str, k: int = 1, ties: str = "rank", name: str | None = None):
     """Rows whose RANK (or ``ties='dense_rank'``) of ``value``, highest first, is at most k in the group.
 
-    Ranks are worked out on (group, value) levels, counted with map-side combine and cut to k levels
-    per group before they are shuffled by group. Copies of a top value therefore never meet in one
-    task: the rows themselves are only filtered by an equi join with the few levels that are kept.
+    The best value of a group is a plain maximum. For k > 1 ranks are worked out on (group, value)
+    levels, counted with map-side combine and cut to k levels per group before they are shuffled by
+    group. Copies of a top value therefore never meet in one task: the rows themselves are only
+    filtered by an equi join with the few levels that are kept.
     """
-    levels = df.groupBy(*[F.col(b).alias(f"_by_{b}") for b in by], F.col(value).alias("_value")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    w = Window.partitionBy(*[f"_by_{b}" for b in by]).orderBy(F.col("_value").desc())
-    kept = levels.withColumn("_level", F.row_number().over(w)).filter(F.col("_level") <= k)
-    rank = F.col("_level").cast("long")
-    if ties == "rank":
-        above = F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        kept = kept.withColumn("_rank", F.coalesce(above, F.lit(0)) + 1).filter(F.col("_rank") <= k)
-        rank = F.col("_rank")
+    groups = [F.col(b).alias(f"_by_{b}") for b in by]
+    if k == 1:
+        kept = df.groupBy(*groups).agg(F.max(value).alias("_value"))
+        rank = F.lit(1).cast("long")
+    else:
+        levels = df.groupBy(*groups, F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_rows"))
+        w = Window.partitionBy(*[f"_by_{b}" for b in by]).orderBy(F.col("_value").desc())
+        kept = levels.withColumn("_level", F.row_number().over(w)).filter(F.col("_level") <= k)
+        rank = F.col("_level").cast("long")
+        if ties == "rank":
+            above = F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1))
+            kept = kept.withColumn("_rank", F.coalesce(above, F.lit(0)) + 1).filter(F.col("_rank") <= k)
+            rank = F.col("_rank")
     kept = kept.select(*[f"_by_{b}" for b in by], "_value", rank.alias(name or "_rank"))
     same = df[value].eqNullSafe(kept["_value"])
     for b in by:

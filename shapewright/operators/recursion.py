@@ -71,7 +71,7 @@ def closure(
         "level",
     )
     # the start may be walked from even though it refers to itself
-    step = settle(edges.filter((F.col("_p") == F.lit(start)) & (F.col("_c") != F.lit(start))).select("_c"), "step")
+    step = edges.filter((F.col("_p") == F.lit(start)) & (F.col("_c") != F.lit(start))).select("_c")
     levels = [level]
     while not levels[-1].isEmpty():
         if len(levels) > max_depth:

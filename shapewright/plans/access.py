@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapewright.functions.text import fill_template, quote_name
-from shapewright.operators.aggregates import header_values, pivot_count
+from shapewright.operators.aggregates import settled_counts, spread_counts
 from shapewright.operators.filters import first_match
 from shapewright.operators.joins import lookup
 from shapewright.operators.sets import append_all, union_distinct, union_sources
@@ -74,14 +74,17 @@ def membership_matrix(server: DataFrame, databases: DataFrame, cap: int = 1000)
     distinct role names come to the driver, and no more than ``cap``.
     """
     role = F.col("role_name")
-    server_heads = header_values(server, "role_name", [role != "sysadmin"], cap)
-    listed = databases.filter(~role.like("MSRepl%"))
-    database_heads = header_values(listed, "role_name", [F.left(role, F.lit(3)) != "db_"], cap)
-    matrix = pivot_count(server, ROLE_KEYS, "role_name", server_heads).unionByName(
-        pivot_count(databases, ROLE_KEYS, "role_name", database_heads), allowMissingColumns=True
+    on_server = settled_counts(server, ROLE_KEYS, "role_name")
+    in_databases = settled_counts(databases, ROLE_KEYS, "role_name")
+    # rows of unlisted roles keep their login, with 0 in every column
+    listed = F.when(~role.like("MSRepl%"), role)
+    in_databases = in_databases.withColumn("role_name", listed)
+    matrix = spread_counts(on_server, ROLE_KEYS, "role_name", [role != "sysadmin"], cap).unionByName(
+        spread_counts(in_databases, ROLE_KEYS, "role_name", [F.left(role, F.lit(3)) != "db_"], cap),
+        allowMissingColumns=True,
     )
-    heads = list(dict.fromkeys(server_heads + database_heads))
-    return matrix.fillna(0, heads).select(*ROLE_KEYS, *[F.col(f"`{h}`") for h in heads])
+    heads = [c for c in matrix.columns if c not in ROLE_KEYS]
+    return matrix.fillna(0, heads)
 
 
 def role_grants(

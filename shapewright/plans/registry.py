@@ -20,7 +20,9 @@ class Tables:
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return scan(self.spark, self.folder, name)
+        table = scan(self.spark, self.folder, name)
+        setattr(self, name, table)
+        return table
 
 
 def query(sql: str | None = None, name: str | None = None):
