@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 import uuid
+from fnmatch import fnmatch
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,17 +53,52 @@ def write_blobs(df: DataFrame, path: str, blob: str, root: str) -> DataFrame:
     return rows.mapInPandas(write, "path string, bytes long, ok boolean, error string")
 
 
-def read_blobs(spark: SparkSession, root: str, pattern: str = "*", extension: str | None = None) -> DataFrame:
-    """All files below a folder: folder relative to it, name, content."""
+def read_blobs(
+    spark: SparkSession, root: str, pattern: str = "*", extension: str | None = None, keep_empty: bool = True
+) -> DataFrame:
+    """All files below a folder: folder relative to it, name, content.
+
+    The pattern (*, ? and [...]) is for the file name. Spark's file sources give no row for a file
+    of length 0; ``keep_empty`` adds those from a listing made by the tasks.
+    """
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    )
+    ).select("path", "content")
+    if keep_empty:
+        files = files.unionByName(_empty_files(spark, root, pattern))
     return files.select(*_place(F.col("path"), root, extension), "content")
 
 
+def _empty_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
+    """Files of length 0: the top folder is listed here, each folder in it by a task."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(root)
+    top = store.get_file_info(fs.FileSelector(base))
+    is_empty = lambda f: f.type == fs.FileType.File and f.size == 0 and fnmatch(f.base_name, pattern)
+
+    def list_folders(batches):
+        import pandas as pd
+
+        for batch in batches:
+            for folder in batch["path"]:
+                below = store.get_file_info(fs.FileSelector(folder, recursive=True))
+                found = [f.path for f in below if is_empty(f)]
+                yield pd.DataFrame({"path": found, "content": [b""] * len(found)})
+
+    schema = "path string, content binary"
+    folders = [(f.path,) for f in top if f.type == fs.FileType.Directory]
+    listed = spark.createDataFrame(folders, "path string")
+    if len(folders) > 1:
+        listed = listed.repartition(min(len(folders), spark.sparkContext.defaultParallelism))
+    here = spark.createDataFrame([(f.path, b"") for f in top if is_empty(f)], schema)
+    return here.unionByName(listed.mapInPandas(list_folders, schema))
+
+
 def _place(path: Column, root: str, extension: str | None) -> list[Column]:
-    plain = root.split("://", 1)[-1] if "://" in root else root.removeprefix("file:")
-    plain = plain.rstrip("/")
+    from pyarrow import fs
+
+    plain = fs.FileSystem.from_uri(root)[1].rstrip("/")  # the part that all spellings of the root share
     below = F.substring(path, F.instr(path, plain) + F.lit(len(plain)), F.length(path))
     leaf = F.substring_index(below, "/", -1)
     return [folder_of(below).alias("folder"), (strip_extension(leaf, extension) if extension else leaf).alias("name")]
