@@ -22,6 +22,10 @@ def pages_to_mb(pages: Column) -> Column:
     return pages / F.lit(128.0)
 
 
+def bytes_to_mb(size: Column) -> Column:
+    return size / F.lit(1024.0) / F.lit(1024.0)
+
+
 def minutes_from_ms(ms: Column) -> Column:
     """Milliseconds as minutes with two digits, half up, in exact decimals."""
     return (ms.cast("decimal(20,0)") / F.lit(60000).cast("decimal(5,0)")).cast("decimal(10,2)")

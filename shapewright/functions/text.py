@@ -58,6 +58,14 @@ def quote_name(col: Column) -> Column:
     return F.concat(F.lit("["), F.replace(col, F.lit("]"), F.lit("]]")), F.lit("]"))
 
 
+def qualified_name(*parts: Column) -> Column:
+    """[a].[b].[c]; empty if any part is missing."""
+    pieces = [quote_name(parts[0])]
+    for part in parts[1:]:
+        pieces += [F.lit("."), quote_name(part)]
+    return F.coalesce(F.concat(*pieces), F.lit(""))
+
+
 def folder_of(path: Column, sep: str = "/") -> Column:
     """Everything before the last separator; empty if there is none."""
     return F.regexp_extract(path, f"^(.*){re.escape(sep)}[^{re.escape(sep)}]*$", 1)

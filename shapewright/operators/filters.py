@@ -57,14 +57,26 @@ def _on(left: DataFrame, right: DataFrame, keys) -> Column:
     return condition
 
 
+def _few_per_key(right: DataFrame, keys) -> DataFrame:
+    """The right side's keys with few copies each: enough for a semi or anti join.
+
+    A key held by a third of the rows shrinks before it is shuffled. A full distinct() would leave its
+    own shuffle as the join's, and then Spark could not split a hot key of the left side at run time.
+    """
+    columns = [b for _, b in _pairs(keys)]
+    return right.select(*columns, (F.spark_partition_id() % 8).alias("_copy")).distinct().select(*columns)
+
+
 def with_match(left: DataFrame, right: DataFrame, keys, residual=None) -> DataFrame:
     """IN / EXISTS: left rows with a partner, once each. ``residual(left, right)`` may add a condition."""
-    right = right.alias("_r")
-    on = _on(left, right, keys)
-    return left.join(right, on & residual(left, right) if residual else on, "left_semi")
+    if residual:
+        right = right.alias("_r")
+        return left.join(right, _on(left, right, keys) & residual(left, right), "left_semi")
+    right = _few_per_key(right, keys).alias("_r")
+    return left.join(right, _on(left, right, keys), "left_semi")
 
 
 def without_match(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """NOT EXISTS: left rows with no partner; a NULL key has none."""
-    right = right.alias("_r")
+    right = _few_per_key(right, keys).alias("_r")
     return left.join(right, _on(left, right, keys), "left_anti")

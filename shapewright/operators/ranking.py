@@ -68,3 +68,8 @@ def top_rows(df: DataFrame, order_by, n: int, skip: int = 0) -> DataFrame:
         ordered = df.orderBy(*order)
         return (ordered.offset(skip) if skip else ordered).limit(n)
     return number_rows(df, order, "_no").filter(F.col("_no").between(skip + 1, skip + n)).drop("_no")
+
+
+def sorted_if(df: DataFrame, sort: bool, *order_by) -> DataFrame:
+    """The final order of a report. A total sort is a shuffle of its own, so it is only done when asked for."""
+    return df.orderBy(*order_by) if sort else df

@@ -9,6 +9,7 @@ from shapewright.functions.text import fill_template, quote_name
 from shapewright.operators.aggregates import settled_counts, spread_counts
 from shapewright.operators.filters import first_match
 from shapewright.operators.joins import lookup
+from shapewright.operators.ranking import sorted_if
 from shapewright.operators.sets import append_all, union_distinct, union_sources
 
 # fixed values: the texts of the generated lines
@@ -67,7 +68,7 @@ def database_roles(sources: dict[str, DataFrame], server: str) -> DataFrame:
     )
 
 
-def membership_matrix(server: DataFrame, databases: DataFrame, cap: int = 1000) -> DataFrame:
+def membership_matrix(server: DataFrame, databases: DataFrame, cap: int = 1000, sort: bool = False) -> DataFrame:
     """One row per login and database with a 0/1 count per role.
 
     Role columns: sysadmin, the other server roles, db_ roles, the rest, each by name. Only the
@@ -84,7 +85,8 @@ def membership_matrix(server: DataFrame, databases: DataFrame, cap: int = 1000)
         allowMissingColumns=True,
     )
     heads = [c for c in matrix.columns if c not in ROLE_KEYS]
-    return matrix.fillna(0, heads)
+    order = ["server_name", "login_type", "login_name", "database_name"]
+    return sorted_if(matrix.fillna(0, heads), sort, *order)
 
 
 def role_grants(
@@ -150,6 +152,7 @@ def grant_lines(
     objects: DataFrame,
     types: DataFrame,
     database: str,
+    sort: bool = False,
 ) -> DataFrame:
     """Distinct statement lines that create users, add them to roles and repeat other permissions.
 
@@ -169,4 +172,4 @@ def grant_lines(
     others = rows.select(grant_line(quote_name(F.lit(database))).alias("line")).filter(F.col("line").isNotNull())
     for skipped in SKIPPED_LINES:
         others = others.filter(~F.col("line").ilike(skipped))
-    return union_distinct(users, roles, others)
+    return sorted_if(union_distinct(users, roles, others), sort, "line")

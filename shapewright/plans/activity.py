@@ -21,7 +21,7 @@ from shapewright.functions.temporal import (
 from shapewright.functions.text import contains_text, slice_by_bytes
 from shapewright.operators.filters import decode, first_match, flagged, only, with_match, within_days
 from shapewright.operators.joins import join_rollups, lookup, waits_with_holder
-from shapewright.operators.ranking import top_rows
+from shapewright.operators.ranking import sorted_if, top_rows
 
 RUN_LABELS = {"D": "Full", "I": "Differential", "L": "Transaction Log"}  # fixed values
 
@@ -60,7 +60,12 @@ def run_history(
 
 
 def schedule(
-    jobs: DataFrame, steps: DataFrame, job_schedules: DataFrame, schedules: DataFrame, as_of: datetime | str
+    jobs: DataFrame,
+    steps: DataFrame,
+    job_schedules: DataFrame,
+    schedules: DataFrame,
+    as_of: datetime | str,
+    sort: bool = False,
 ) -> DataFrame:
     """Enabled jobs due on the day of ``as_of`` or the next, with steps and labels.
 
@@ -75,7 +80,7 @@ def schedule(
         .join(steps, "job_id", "left")
         .join(schedules, "schedule_id", "left")
     )
-    return joined.select(
+    report = joined.select(
         "job_name",
         "step_id",
         "step_name",
@@ -86,16 +91,17 @@ def schedule(
         decode(F.col("enabled"), {1: "Enabled"}, "Disabled").alias("enabled"),
         decode(F.col("last_run_outcome"), {1: "Success"}, "Fail").alias("last_run_outcome"),
     )
+    return sorted_if(report, sort, "next_run_date", "next_run_time", "job_name", "step_id")
 
 
-def job_history(log: DataFrame, jobs: DataFrame, steps: DataFrame) -> DataFrame:
+def job_history(log: DataFrame, jobs: DataFrame, steps: DataFrame, sort: bool = False) -> DataFrame:
     """Distinct runs with their start as a timestamp and their duration as hh:mm:ss.
 
     log: job_id, step_id, run_date, run_time, run_duration (integers); jobs: job_id, job_name;
     steps: job_id, step_id, step_name.
     """
     joined = log.join(jobs, "job_id").join(steps, ["job_id", "step_id"])
-    return joined.select(
+    runs = joined.select(
         "job_name",
         "step_name",
         "job_id",
@@ -103,6 +109,23 @@ def job_history(log: DataFrame, jobs: DataFrame, steps: DataFrame) -> DataFrame:
         decode_datetime(F.col("run_date"), F.col("run_time")).alias("run_datetime"),
         duration_text(F.col("run_duration")).alias("run_duration"),
     ).distinct()
+    return sorted_if(runs, sort, F.col("run_datetime").desc(), F.col("step_id").desc(), "job_name")
+
+
+def execution_details(
+    executions: DataFrame, operations: DataFrame, messages: DataFrame, events: DataFrame, project: str, runs: int = 10
+) -> DataFrame:
+    """A project's last runs with their operation, messages and events; runs without any of them stay.
+
+    executions: execution_id, project_name; operations: operation_id, start_time, end_time;
+    messages: operation_id, message_id, message_time, message; events: operation_id, message_id,
+    package, path. The few run ids cut every log down before the logs meet.
+    """
+    last = top_rows(only(executions, "project_name", project), F.col("execution_id").desc(), runs)
+    of_last = lambda df: with_match(df, last, {"operation_id": "execution_id"})
+    rows = last.withColumn("operation_id", F.col("execution_id"))
+    rows = rows.join(of_last(operations), "operation_id", "left").join(of_last(messages), "operation_id", "left")
+    return rows.join(of_last(events), ["operation_id", "message_id"], "left")
 
 
 def execution_errors(
@@ -137,7 +160,9 @@ def execution_errors(
     return top_rows(found, ["message_time", "message_id", "operation_id"], n)
 
 
-def usage_stats(items: DataFrame, log: DataFrame, as_of: datetime | str | None = None, days: int = 60) -> DataFrame:
+def usage_stats(
+    items: DataFrame, log: DataFrame, as_of: datetime | str | None = None, days: int = 60, sort: bool = False
+) -> DataFrame:
     """Runs, drill-throughs, failures and mean times per item over the last days; unused items show 0.
 
     items: item_id, path, name; log: item_id, action, source, status, time_start, time_end,
@@ -165,7 +190,8 @@ def usage_stats(items: DataFrame, log: DataFrame, as_of: datetime | str | None =
         *[(mean(c) / F.lit(1000.0)).alias(f"avg_{c}_seconds") for c in times],
         mean("row_count").alias("avg_rows"),
     )
-    return join_rollups(items, [totals], "item_id", [c for c in totals.columns if c != "item_id"])
+    report = join_rollups(items, [totals], "item_id", [c for c in totals.columns if c != "item_id"])
+    return sorted_if(report, sort, F.col("total_runs").desc())
 
 
 def access_counts(usage: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -208,7 +234,9 @@ def wait_chains(waits: DataFrame, holders: DataFrame, sessions: DataFrame) -> Da
     return chains.join(who, "session_id").join(blocker, "blocking_session_id")
 
 
-def active_requests(sessions: DataFrame, requests: DataFrame, as_of: datetime | str | None = None) -> DataFrame:
+def active_requests(
+    sessions: DataFrame, requests: DataFrame, as_of: datetime | str | None = None, sort: bool = False
+) -> DataFrame:
     """All sessions with their running request, if any: minutes so far, expected end, current statement.
 
     sessions: session_id and any others; requests: session_id, percent_complete, elapsed_ms,
@@ -222,18 +250,20 @@ def active_requests(sessions: DataFrame, requests: DataFrame, as_of: datetime |
         canonical_text(F.timestamp_add("MICROSECOND", F.col("remaining_ms") * 1000, moment(as_of))).alias("eta"),
         slice_by_bytes(F.col("text"), F.col("start_offset"), F.col("end_offset")).alias("statement"),
     )
-    return sessions.join(running, "session_id", "left")
+    return sorted_if(sessions.join(running, "session_id", "left"), sort, F.col("elapsed_min").desc())
 
 
-def log_records(log: DataFrame) -> DataFrame:
+def log_records(log: DataFrame, sort: bool = False) -> DataFrame:
     """Log records with a begin time or a unit; the hexadecimal position also in decimal.
 
     log: position, begin_time, unit and any others.
     """
     kept = log.filter(F.col("begin_time").isNotNull() | F.col("unit").isNotNull())
-    return kept.withColumn("position_decimal", position_text(F.col("position")))
+    report = kept.withColumn("position_decimal", position_text(F.col("position")))
+    return sorted_if(report, sort, F.col("begin_time").desc())
 
 
-def staleness(log: DataFrame, key: str, ts: str) -> DataFrame:
+def staleness(log: DataFrame, key: str, ts: str, sort: bool = False) -> DataFrame:
     """Last refresh of each object."""
-    return log.groupBy(key).agg(F.max(ts).alias("last_update"))
+    report = log.groupBy(key).agg(F.max(ts).alias("last_update"))
+    return sorted_if(report, sort, F.col("last_update").desc())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapewright.functions.numeric import key_limit, pages_to_mb, share_used
+from shapewright.operators.ranking import sorted_if
 from shapewright.operators.sets import append_all
 from shapewright.session import settle
 
@@ -15,7 +16,7 @@ MAX_BOUNDS = 15_000
 
 
 def keyspace_used(
-    keys: dict[str, tuple[DataFrame, str]], at_least: float = 0.8, key_type: str | None = None
+    keys: dict[str, tuple[DataFrame, str]], at_least: float = 0.8, key_type: str | None = None, sort: bool = False
 ) -> DataFrame:
     """Part of each table's integer key range that is used, from its largest key, filtered.
 
@@ -36,7 +37,7 @@ def keyspace_used(
             )
         )
     used = append_all(*branches).withColumn("share_used", share_used(F.col("current_value"), F.col("max_value")))
-    return used.filter(F.col("share_used") >= at_least)
+    return sorted_if(used.filter(F.col("share_used") >= at_least), sort, F.col("share_used").desc())
 
 
 def range_ordinal(value: Column, bounds: list[int]) -> Column:
@@ -108,12 +109,13 @@ def range_partitions(
     )
 
 
-def space_report(files: DataFrame) -> DataFrame:
+def space_report(files: DataFrame, sort: bool = False) -> DataFrame:
     """Allocated and used MB per file from 8 KB pages. files: file_name, group_id, pages, used_pages."""
     mb = lambda c: pages_to_mb(F.col(c)).cast("decimal(14,2)")
-    return files.select(
+    report = files.select(
         F.rtrim("file_name").alias("file_name"), "group_id", mb("pages").alias("allocated_mb"), mb("used_pages").alias("used_mb")
     )
+    return sorted_if(report, sort, F.col("group_id").desc())
 
 
 def space_totals(files: DataFrame, by: str) -> DataFrame:

@@ -10,6 +10,7 @@ from shapewright.functions.text import contains_text, fill_template, quote_name,
 from shapewright.operators.aggregates import mode_per_group, ordered_list_parts
 from shapewright.operators.joins import expand, lookup
 from shapewright.operators.numbering import HOT_ROWS, number_rows
+from shapewright.operators.ranking import sorted_if
 from shapewright.operators.recursion import closure
 
 # fixed values: the texts of the reference lines
@@ -18,7 +19,7 @@ CHILD_LINE = "SELECT '{child}' AS [TABLE], * FROM {child_schema}.{child} WHERE {
 
 
 def catalogue_search(
-    items: DataFrame, sources: DataFrame, types: list, pattern: str, case_insensitive: bool = True
+    items: DataFrame, sources: DataFrame, types: list, pattern: str, case_insensitive: bool = True, sort: bool = False
 ) -> DataFrame:
     """Items of the given types whose content holds a pattern, with their source and the source's own path.
 
@@ -28,11 +29,11 @@ def catalogue_search(
     wanted = items.filter(F.col("type").isin(types) & (text_length(F.col("name")) != 0))
     found = wanted.filter(contains_text(bytes_to_text(F.col("content")), pattern, case_insensitive)).drop("content")
     linked = found.join(sources, "item_id", "left")
-    return lookup(linked, items, "link", "item_id", {"source_path": "path"})
+    return sorted_if(lookup(linked, items, "link", "item_id", {"source_path": "path"}), sort, "path", "name")
 
 
 def subscriptions(
-    subs: DataFrame, users: DataFrame, items: DataFrame, bridge: DataFrame, schedules: DataFrame
+    subs: DataFrame, users: DataFrame, items: DataFrame, bridge: DataFrame, schedules: DataFrame, sort: bool = False
 ) -> DataFrame:
     """Subscriptions with owner, item and schedule.
 
@@ -40,12 +41,13 @@ def subscriptions(
     item_id, item_name; bridge: item_id, subscription_id, schedule_id; schedules: schedule_id,
     schedule_name.
     """
-    return (
+    report = (
         subs.join(bridge, ["item_id", "subscription_id"])
         .join(users, "owner_id")
         .join(items, "item_id")
         .join(schedules, "schedule_id")
     )
+    return sorted_if(report, sort, "schedule_name", "item_name")
 
 
 def key_lists(
@@ -95,7 +97,9 @@ def child_lines(edges: DataFrame, start=None, per_part: int = 1000, hot_rows: in
     )
 
 
-def advice_expand(details: DataFrame, groups: DataFrame, stats: DataFrame, statement: str | None = None) -> DataFrame:
+def advice_expand(
+    details: DataFrame, groups: DataFrame, stats: DataFrame, statement: str | None = None, sort: bool = False
+) -> DataFrame:
     """Each suggestion expanded to its columns, with its group's figures.
 
     details: handle, statement, column_names (array); groups: handle, group_handle; stats:
@@ -103,11 +107,12 @@ def advice_expand(details: DataFrame, groups: DataFrame, stats: DataFrame, state
     """
     wanted = details if statement is None else details.filter(contains_text(F.col("statement"), statement))
     rows = expand(wanted, F.col("column_names"), "column_name", place="column_id").drop("column_names")
-    return rows.join(groups, "handle").join(stats, "group_handle")
+    report = rows.join(groups, "handle").join(stats, "group_handle")
+    return sorted_if(report, sort, "group_handle", "handle", "column_id")
 
 
 def threshold_report(
-    parts: DataFrame, names: DataFrame, keys: list[str], object_name: str, percent: str, above: float | None = None
+    parts: DataFrame, names: DataFrame, keys: list[str], object_name: str, percent: str, above: float | None = None, sort: bool = False
 ) -> DataFrame:
     """An object's parts with a percentage, optionally only those above a threshold.
 
@@ -115,4 +120,4 @@ def threshold_report(
     """
     chosen = names.filter(F.col("object_name") == object_name)
     found = parts if above is None else parts.filter(F.col(percent) > above)
-    return found.join(chosen, keys).drop(*keys)
+    return sorted_if(found.join(chosen, keys).drop(*keys), sort, F.col(percent).desc())

@@ -19,6 +19,7 @@ from shapewright.operators.changes import (
     shift_keys,
     upsert,
 )
+from shapewright.operators.sets import append_all
 from shapewright.plans.registry import query
 from shapewright.session import new_folder
 from shapewright.sources.blobs import path_projection, read_blobs, write_blobs
@@ -33,7 +34,8 @@ ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
     string_split(p_name, ' ')[-1] AS last_word, regexp_replace(p_name, ' [^ ]*$', '') AS but_last, 'X' || substr(p_brand, 2) AS stuffed,
     '[' || replace(p_brand, ']', ']]') || ']' AS quoted, replace(p_brand, 'Brand', 'B') AS replaced, lower(p_type) AS low,
     p_type ILIKE 'econ%' AS like_ci, lower(p_type) = 'economy' AS same_ci, p_name || ' of ' || p_brand || chr(10) AS line,
-    substr(p_name, 2, 2) AS cut, coalesce(substr(nullif(p_type, 'PROMO'), 1, 3), 'none') AS filled FROM part""",
+    substr(p_name, 2, 2) AS cut, coalesce(substr(nullif(p_type, 'PROMO'), 1, 3), 'none') AS filled,
+    coalesce('[' || nullif(p_type, 'PROMO') || '].[' || p_brand || ']', '') AS qualified FROM part""",
     "strings",
 )
 def part_strings(t):
@@ -58,6 +60,7 @@ def part_strings(t):
         text.fill_template("{name} of {brand}\n", name=name, brand=brand).alias("line"),
         text.slice_by_bytes(name, F.lit(2), F.lit(4)).alias("cut"),
         nulls.or_default(F.left(F.nullif(kind, F.lit("PROMO")), F.lit(3)), "none").alias("filled"),
+        text.qualified_name(F.nullif(kind, F.lit("PROMO")), brand).alias("qualified"),
     )
 
 
@@ -65,7 +68,7 @@ def part_strings(t):
     """SELECT o_orderkey, o_orderkey // 7 AS quotient, o_orderkey % 7 AS rest, (0 - o_orderkey) // 7 AS negative,
     CAST(o_orderkey / 128.0 AS DECIMAL(14,2)) AS mb, CAST(((o_orderkey + 300) // 600) / 100 AS DECIMAL(10,2)) AS minutes,
     round(coalesce(CAST(o_custkey AS DOUBLE) / nullif(o_orderkey % 5, 0), 0), 2) AS ratio,
-    CAST(32767 AS BIGINT) AS lim, o_orderkey / 32767 AS used FROM orders""",
+    CAST(32767 AS BIGINT) AS lim, o_orderkey / 1048576 AS from_bytes, o_orderkey / 32767 AS used FROM orders""",
     "numbers",
 )
 def order_numbers(t):
@@ -79,6 +82,7 @@ def order_numbers(t):
         numeric.minutes_from_ms(k).alias("minutes"),
         numeric.safe_ratio(F.col("o_custkey"), k % 5).alias("ratio"),
         numeric.key_limit(16).alias("lim"),
+        numeric.bytes_to_mb(k).alias("from_bytes"),
         numeric.share_used(k, numeric.key_limit(16)).alias("used"),
     )
 
@@ -209,6 +213,24 @@ def update_customers(t):
     return apply_update(target, changes, "c_custkey", columns, [F.col("ts").desc(), F.col("event_id").desc()])
 
 
+@query(
+    """SELECT user_id AS id, ts AS changed, CAST(value AS DECIMAL(19,4)) AS rate FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT c_custkey, TIMESTAMP '2023-12-31', CAST(c_acctbal AS DECIMAL(19,4)) FROM customer"""
+)
+def pay_log(t):
+    """The dated rows an update appends beside the changed table."""
+    log = t.customer.select(
+        F.col("c_custkey").alias("id"),
+        temporal.moment("2023-12-31").alias("changed"),
+        F.col("c_acctbal").cast("decimal(19,4)").alias("rate"),
+    )
+    changes = t.events.filter(F.col("event_type") == "purchase")
+    new = changes.select(
+        F.col("user_id").alias("id"), F.col("ts").alias("changed"), F.col("value").cast("decimal(19,4)").alias("rate")
+    )
+    return append_all(log, new)
+
+
 @query("SELECT CASE WHEN o_orderkey BETWEEN 101 AND 120 THEN o_orderkey - 100 ELSE o_orderkey END AS o_orderkey, o_orderstatus FROM orders", "shift_keys")
 def shift_order_keys(t):
     return shift_keys(t.orders.select("o_orderkey", "o_orderstatus"), "o_orderkey", 101, 120, -100)

@@ -12,6 +12,7 @@ from shapewright.plans.access import database_roles, grant_lines, membership_mat
 from shapewright.plans.activity import (
     access_counts,
     active_requests,
+    execution_details,
     execution_errors,
     job_history,
     log_records,
@@ -144,7 +145,8 @@ def page_search(t):
         F.split_part("url", F.lit("/"), F.lit(4)).alias("type"),
         F.encode("html", "UTF-8").alias("content"),
     )
-    homes = items.groupBy("name").agg(F.min("item_id").alias("link"))
+    # settled, so that the join shuffles both sides itself and a hot site can be split
+    homes = settle(items.groupBy("name").agg(F.min("item_id").alias("link")))
     sources = items.select("item_id", F.col("name").alias("source_name")).join(
         homes, F.col("source_name") == homes["name"]
     )
@@ -286,7 +288,26 @@ def event_runs(t):
     "execution_errors",
 )
 def event_errors(t):
-    last = t.events.groupBy("user_id").agg(F.max("event_id").alias("last_id"))
+    executions, operations, messages, events = execution_tables(t)
+    found = execution_errors(executions, operations, messages, events, "p")
+    return found.drop("operation_id").withColumnRenamed("user_id", "operation_id")
+
+
+@query(
+    """WITH x AS (SELECT user_id AS u, max(event_id) AS execution_id FROM events GROUP BY user_id),
+    top AS (SELECT * FROM x ORDER BY execution_id DESC LIMIT 10)
+    SELECT execution_id, execution_id AS operation_id, event_id AS message_id, ts AS message_time, 'An ' || event_type || ' at ' || props AS message,
+    nullif('pkg' || CAST(event_id % 7 AS VARCHAR), 'pkg3') AS package, CASE WHEN event_id % 11 = 0 THEN '/OnError/x' ELSE '/run/' || CAST(event_id AS VARCHAR) END AS path,
+    c_name AS caller, 'p' AS project_name, user_id FROM top JOIN events ON user_id = u LEFT JOIN customer ON user_id = c_custkey""",
+    "execution_details",
+)
+def event_details(t):
+    return execution_details(*execution_tables(t), "p")
+
+
+def execution_tables(t):
+    """Executions, operations, messages and event places made of the events of each user."""
+    last = settle(t.events.groupBy("user_id").agg(F.max("event_id").alias("last_id")))
     # the report takes the largest ids, so an execution is numbered by its last event
     executions = last.select(F.col("last_id").alias("execution_id"), F.lit("p").alias("project_name"))
     run = t.events.join(last, "user_id")
@@ -306,8 +327,7 @@ def event_errors(t):
     operations = last.join(t.customer, F.col("user_id") == F.col("c_custkey")).select(
         F.col("last_id").alias("operation_id"), F.col("c_name").alias("caller")
     )
-    found = execution_errors(executions, operations, messages, events, "p")
-    return found.drop("operation_id").withColumnRenamed("user_id", "operation_id")
+    return executions, operations, messages, events
 
 
 ROLES = "CASE WHEN n_nationkey % 2 = 0 THEN 'db_' || r_name ELSE r_name END"

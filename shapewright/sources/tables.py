@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from shapewright.operators.ranking import sorted_if
 from shapewright.operators.sets import append_all
 
 
@@ -25,7 +26,7 @@ def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
+def profile_tables(tables: dict[str, DataFrame], sort: bool = False) -> DataFrame:
     """Rows and file bytes per table in one job. The tables must be plain file scans.
 
     Counts are combined per file before the shuffle, so what moves is one row per file and task.
@@ -44,9 +45,10 @@ def profile_tables(tables: dict[str, DataFrame]) -> DataFrame:
     # a table without rows has no files in the scan
     spark = next(iter(tables.values())).sparkSession
     names = values(spark, [(name,) for name in tables], "table_name string")
-    return names.join(sizes, "table_name", "left").select(
+    profile = names.join(sizes, "table_name", "left").select(
         "table_name", F.coalesce("n", F.lit(0)).alias("total_rows"), F.coalesce("b", F.lit(0)).alias("total_bytes")
     )
+    return sorted_if(profile, sort, F.col("total_rows").desc(), "table_name")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
