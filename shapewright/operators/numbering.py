@@ -25,9 +25,10 @@ def _columns(items) -> list[Column]:
 def number_rows(df: DataFrame, order_by, name: str = "row_no", copies: bool = False) -> DataFrame:
     """Adds ``name`` = 1, 2, 3 ... over the whole table in the given order.
 
-    Ties are broken by all columns in schema order, so the numbering is repeatable up to rows that
-    are equal in every column. Such copies sort into one slice; where they may be many, ``copies``
-    counts them before the sort and deals their numbers out afterwards.
+    Ties are broken by a hash of the row, so the numbering is repeatable and the sort key, of which
+    Spark samples some to the driver, stays as narrow as ``order_by``. Rows equal in every column
+    sort into one slice; where such copies may be many, ``copies`` counts them before the sort and
+    deals their numbers out afterwards.
     """
     if copies:
         return _number_copies(df, order_by, name)
@@ -41,9 +42,10 @@ def number_rows(df: DataFrame, order_by, name: str = "row_no", copies: bool = Fa
 
 def _slices(df: DataFrame, order_by, but: tuple[str, ...] = ()) -> DataFrame:
     """The rows, settled, with their slice of the order (_slice) and a number that rises in it (_at)."""
-    ties = [f.name for f in df.schema.fields if f.name not in but and "map<" not in f.dataType.simpleString()]
-    order = _columns(order_by) + [F.col(f"`{c}`") for c in ties]
-    sliced = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    hashed = [f.name for f in df.schema.fields if f.name not in but and "map<" not in f.dataType.simpleString()]
+    order = _columns(order_by) + [F.col("_tie")]
+    tied = df.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+    sliced = tied.repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
     placed = settle(sliced.withColumn("_at", F.monotonically_increasing_id()), "numbered")
     return placed.withColumn("_slice", F.shiftright("_at", SLICE_BITS))
 

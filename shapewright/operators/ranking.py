@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from shapewright.operators.numbering import _columns, number_rows
 
-TAKE_ROWS = 10_000  # up to here an ordered limit is one TakeOrderedAndProject
+FEW_ROWS = 100  # up to here an ordered limit lets every task send its first rows to one task
+TAKE_ROWS = 1000  # up to here Spark cuts a row_number filter down before the shuffle
+BUCKETS = 64
 
 
 def top_per_group(df: DataFrame, by: list[str], value: str, k: int = 1, ties: str = "rank", name: str | None = None):
@@ -58,16 +60,23 @@ def latest_or_null(parents: DataFrame, children: DataFrame, key: str, child_key:
 def top_rows(df: DataFrame, order_by, n: int, skip: int = 0) -> DataFrame:
     """ORDER BY with LIMIT n OFFSET skip; the order must be given and should be total.
 
-    A deep page is cut from distributed row numbers, because an ordered limit keeps skip + n rows in
-    every task.
+    A plain ordered limit gathers skip + n rows of every task in one task. Beyond a few rows the
+    tasks' first rows are therefore thinned in buckets first, and a deep page is cut from distributed
+    row numbers.
     """
     if n < 0 or skip < 0:
         raise ValueError("n and skip must not be negative")
     order = _columns(order_by)
-    if skip + n <= TAKE_ROWS:
-        ordered = df.orderBy(*order)
-        return (ordered.offset(skip) if skip else ordered).limit(n)
-    return number_rows(df, order, "_no").filter(F.col("_no").between(skip + 1, skip + n)).drop("_no")
+    last = skip + n
+    if last > TAKE_ROWS:
+        return number_rows(df, order, "_no").filter(F.col("_no").between(skip + 1, last)).drop("_no")
+    if last > FEW_ROWS:
+        w = Window.partitionBy("_bucket").orderBy(*order)
+        bucketed = df.withColumn("_bucket", F.spark_partition_id() % BUCKETS)
+        df = bucketed.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= last)
+        df = df.drop("_bucket", "_place")
+    ordered = df.orderBy(*order)
+    return (ordered.offset(skip) if skip else ordered).limit(n)
 
 
 def sorted_if(df: DataFrame, sort: bool, *order_by) -> DataFrame:

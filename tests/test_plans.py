@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import entry, oracle_sql, queries
 from shapewright.operators.numbering import dense_rank_all
-from shapewright.operators.ranking import latest_per_key, top_per_group
+from shapewright.operators.ranking import latest_per_key, top_per_group, top_rows
 from shapewright.plans.capacity import range_partitions
 from shapewright.sources.tables import scan
 
@@ -54,6 +54,7 @@ def test_group_limits_come_before_the_shuffle(spark, small):
     for df in (
         latest_per_key(orders, ["o_custkey"], F.col("o_orderkey").desc()),
         top_per_group(orders, ["o_custkey"], "o_totalprice", 3, "dense_rank"),
+        top_rows(orders, "o_orderkey", 1000),
     ):
         limit = plan_of(df).split("WindowGroupLimit")
         assert "Exchange hashpartitioning" in limit[1] and limit[2].split("\n")[0].endswith("Partial")

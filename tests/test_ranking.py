@@ -114,5 +114,8 @@ def test_top_rows(spark, rows):
     assert rows(top_rows(df, F.col("id").desc(), 2, 3)) == [(25,), (26,)]
     deep = top_rows(spark.range(11_000), F.col("id").desc(), 1, 10_500)
     assert rows(deep) == [(499,)]
+    for n, skip in ((150, 30), (1000, 0), (1000, 1), (0, 5)):
+        page = top_rows(spark.range(0, 3000, 1, 70), F.col("id").desc(), n, skip)
+        assert sorted(r.id for r in page.collect()) == list(range(3000 - skip - n, 3000 - skip))
     with pytest.raises(ValueError):
         top_rows(df, "id", -1)
