@@ -128,21 +128,22 @@ def path_split(t):
     return path_projection(placed, "url", "html").withColumnRenamed("url", "path")
 
 
-EDITED = """(SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
-    CASE WHEN o_orderkey % 10 = 2 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate FROM orders WHERE o_orderkey % 10 <> 3
-    UNION ALL SELECT o_orderkey + 1000000000000, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderkey % 10 = 4)"""
+EDITED = """(SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'X' ELSE o_orderstatus END AS o_orderstatus,
+    CASE o_orderpriority WHEN '2-HIGH' THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate
+    FROM orders WHERE o_orderpriority <> '3-MEDIUM' OR o_orderstatus <> 'F'
+    UNION ALL SELECT o_orderkey + 1000000000000, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority = '5-LOW')"""
 
 
 def edited_orders(t):
-    """Orders with some rows changed, some removed and some new ones."""
-    k = F.col("o_orderkey")
-    rows = t.orders.select(*ORDER_COLUMNS)
-    kept = (
-        rows.filter(k % 10 != 3)
-        .withColumn("o_orderstatus", F.when(k % 10 == 1, "X").otherwise(F.col("o_orderstatus")))
-        .withColumn("o_totalprice", F.when(k % 10 == 2, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    )
-    return kept.unionByName(rows.filter(k % 10 == 4).withColumn("o_orderkey", k + 1_000_000_000_000))
+    """The orders as they might look later: urgent ones in a new status, high ones dearer, the closed
+    medium ones gone, and each low one there a second time under a new key."""
+    priority = F.col("o_orderpriority")
+    kept = t.orders.filter((priority != "3-MEDIUM") | (F.col("o_orderstatus") != "F"))
+    edited = kept.withColumn("o_orderstatus", F.when(priority == "1-URGENT", "X").otherwise(F.col("o_orderstatus")))
+    price = F.col("o_totalprice")
+    edited = edited.withColumn("o_totalprice", F.when(priority == "2-HIGH", price + 1).otherwise(price))
+    new = t.orders.filter(priority == "5-LOW").withColumn("o_orderkey", F.col("o_orderkey") + 1_000_000_000_000)
+    return edited.select(*ORDER_COLUMNS).unionByName(new.select(*ORDER_COLUMNS))
 
 
 DIFF = f"""SELECT CASE WHEN b.o_orderkey IS NULL THEN 1 WHEN a.o_orderkey IS NULL THEN 3 ELSE 2 END AS history_type,

@@ -412,7 +412,7 @@ def values_rows(t):
     """SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' END AS status,
     CASE WHEN o_totalprice >= 400000 THEN 'high' WHEN o_totalprice >= 100000 THEN 'mid' ELSE 'low' END AS band
     FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 60 DAYS AND (o_orderpriority LIKE '1-%' OR o_orderpriority IN ('5-LOW'))
-    AND o_orderkey BETWEEN 100 AND 14000"""
+    AND o_totalprice BETWEEN 1000 AND 450000"""
 )
 def filters(t):
     recent = within_days(t.orders, "o_orderdate", 60, "2001-08-01")
@@ -420,7 +420,7 @@ def filters(t):
     band = first_match(
         [(F.col("o_totalprice") >= 400000, F.lit("high")), (F.col("o_totalprice") >= 100000, F.lit("mid"))], F.lit("low")
     )
-    kept = recent.filter(urgent & F.col("o_orderkey").between(100, 14000))
+    kept = recent.filter(urgent & F.col("o_totalprice").between(1000, 450000))
     return kept.select("o_orderkey", decode(F.col("o_orderstatus"), {"O": "open", "F": "closed"}).alias("status"), band.alias("band"))
 
 

@@ -281,9 +281,9 @@ def event_runs(t):
     """WITH x AS (SELECT user_id AS execution_id, max(event_id) AS last_id FROM events GROUP BY user_id),
     top AS (SELECT * FROM x ORDER BY last_id DESC LIMIT 10)
     SELECT user_id AS operation_id, event_id AS message_id, ts AS message_time, 'An ' || event_type || ' at ' || props AS message,
-    nullif('pkg' || CAST(event_id % 7 AS VARCHAR), 'pkg3') AS package, CASE WHEN event_id % 11 = 0 THEN '/OnError/x' ELSE '/run/' || CAST(event_id AS VARCHAR) END AS path,
+    nullif(props, '{"k": 3}') AS package, CASE WHEN value < 5 THEN '/OnError/x' ELSE '/run/' || CAST(event_id AS VARCHAR) END AS path,
     c_name AS caller, 'p' AS project_name FROM events JOIN top ON user_id = execution_id LEFT JOIN customer ON user_id = c_custkey
-    WHERE event_type ILIKE '%error%' AND event_id % 7 <> 3 AND event_id % 11 <> 0
+    WHERE event_type ILIKE '%error%' AND props <> '{"k": 3}' AND value >= 5
     ORDER BY ts, event_id LIMIT 10000""",
     "execution_errors",
 )
@@ -297,7 +297,7 @@ def event_errors(t):
     """WITH x AS (SELECT user_id AS u, max(event_id) AS execution_id FROM events GROUP BY user_id),
     top AS (SELECT * FROM x ORDER BY execution_id DESC LIMIT 10)
     SELECT execution_id, execution_id AS operation_id, event_id AS message_id, ts AS message_time, 'An ' || event_type || ' at ' || props AS message,
-    nullif('pkg' || CAST(event_id % 7 AS VARCHAR), 'pkg3') AS package, CASE WHEN event_id % 11 = 0 THEN '/OnError/x' ELSE '/run/' || CAST(event_id AS VARCHAR) END AS path,
+    nullif(props, '{"k": 3}') AS package, CASE WHEN value < 5 THEN '/OnError/x' ELSE '/run/' || CAST(event_id AS VARCHAR) END AS path,
     c_name AS caller, 'p' AS project_name, user_id FROM top JOIN events ON user_id = u LEFT JOIN customer ON user_id = c_custkey""",
     "execution_details",
 )
@@ -319,8 +319,8 @@ def execution_tables(t):
         "user_id",
     )
     e = F.col("event_id")
-    package = F.nullif(F.concat(F.lit("pkg"), (e % 7).cast("string")), F.lit("pkg3"))
-    path = F.when(e % 11 == 0, "/OnError/x").otherwise(F.concat(F.lit("/run/"), e.cast("string")))
+    package = F.nullif(F.col("props"), F.lit('{"k": 3}'))
+    path = F.when(F.col("value") < 5, "/OnError/x").otherwise(F.concat(F.lit("/run/"), e.cast("string")))
     events = run.select(
         F.col("last_id").alias("operation_id"), F.col("event_id").alias("message_id"), package.alias("package"), path.alias("path")
     )
@@ -335,7 +335,7 @@ SERVER_ROLES = ["sysadmin"] + PRIORITIES[1:] + ["ControlServer"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 DATABASE_ROLES = [f"db_{r}" for r in REGIONS] + REGIONS
 MATRIX = ", ".join(f"count(*) FILTER (role_name = '{r}') AS \"{r}\"" for r in SERVER_ROLES + DATABASE_ROLES)
-SEGMENTS = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"]
+SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
 @query(
@@ -347,7 +347,7 @@ SEGMENTS = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD"]
       WHERE o_totalprice > 450000 AND o_orderstatus = 'F'
     UNION ALL SELECT 'srv', '[' || c_mktsegment || ']', CASE WHEN c_custkey % 2 = 0 THEN 'SQL_LOGIN' ELSE 'WINDOWS_LOGIN' END, c_name, {ROLES}
       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-      WHERE c_acctbal >= 0 AND c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD'))
+      WHERE c_acctbal >= 0)
     GROUP BY server_name, database_name, login_type, login_name""",
     "membership_matrix",
 )
@@ -440,7 +440,7 @@ def nation_grants(t):
 @query(
     f"""WITH {PERMISSION_TABLES}, m AS (SELECT '[' || c_mktsegment || ']' AS db, c_name AS u, {ROLES} AS r
       FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-      WHERE c_acctbal >= 0 AND c_mktsegment IN ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD')),
+      WHERE c_acctbal >= 0),
     g AS (SELECT 'USE [db1] ' || CASE cls WHEN 'OBJECT_OR_COLUMN' THEN state || ' ' || perm || ' ON [' || s.r_name || '].[' || oname || '] TO [' || pname || ']'
       WHEN 'SCHEMA' THEN state || ' ' || perm || ' ON SCHEMA :: [' || ss.r_name || '] TO [' || pname || ']'
       WHEN 'TYPE' THEN state || ' ' || perm || ' ON TYPE :: [' || tschema || '].[' || tname || '] TO [' || pname || ']'
@@ -527,8 +527,8 @@ def document_totals(t):
 @query(
     """SELECT lpad(lower(to_hex(event_id)), 8, '0') || ':' || lpad(lower(to_hex(user_id)), 8, '0') || ':' || lpad(lower(to_hex(event_id % 65536)), 4, '0') AS position,
     event_id || ':' || user_id || ':' || event_id % 65536 AS position_decimal, CASE WHEN event_type <> 'view' THEN ts END AS begin_time,
-    nullif(CASE WHEN event_id % 3 = 0 THEN 'view' ELSE 'unit' END, 'view') AS unit FROM events
-    WHERE event_type <> 'view' OR event_id % 3 <> 0""",
+    CASE WHEN value >= 5 THEN 'unit' END AS unit FROM events
+    WHERE event_type <> 'view' OR value >= 5""",
     "log_records",
 )
 def event_log(t):
@@ -539,7 +539,7 @@ def event_log(t):
     log = t.events.select(
         position.alias("position"),
         F.when(F.col("event_type") != "view", F.col("ts")).alias("begin_time"),
-        F.when(F.col("event_id") % 3 != 0, F.lit("unit")).alias("unit"),
+        F.when(F.col("value") >= 5, F.lit("unit")).alias("unit"),
     )
     return log_records(log)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from shapewright.sources.tables import scan
 
@@ -13,14 +14,22 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+_schemas: dict[str, StructType] = {}
+
+
 class Tables:
-    """The tables of one folder, read on first use: t.orders, t.events ..."""
+    """The tables of one folder, read on first use: t.orders, t.events ...
+
+    A table's footers are read for its schema once per process, not once per query.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        table = scan(self.spark, self.folder, name)
+        place = f"{self.folder}/{name}"
+        table = scan(self.spark, self.folder, name, _schemas.get(place))
+        _schemas.setdefault(place, table.schema)
         setattr(self, name, table)
         return table
 

@@ -27,13 +27,14 @@ def write_blobs(df: DataFrame, path: str, blob: str, root: str) -> DataFrame:
     """
 
     def write(batches):
-        import pandas as pd
+        import pyarrow as pa
         from pyarrow import fs
 
         store, base = fs.FileSystem.from_uri(root)
         for batch in batches:
             done = []
-            for name, content in zip(batch["path"], batch["content"]):
+            for at in range(batch.num_rows):
+                name, content = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
                 try:
                     relative = posixpath.normpath(name.lstrip("/"))
                     if relative in ("", ".") or relative.startswith(".."):
@@ -47,10 +48,12 @@ def write_blobs(df: DataFrame, path: str, blob: str, root: str) -> DataFrame:
                     done.append((name, len(content or b""), True, None))
                 except Exception as failure:
                     done.append((name, 0, False, f"{type(failure).__name__}: {failure}"[:500]))
-            yield pd.DataFrame(done, columns=["path", "bytes", "ok", "error"])
+            kinds = {"path": pa.string(), "bytes": pa.int64(), "ok": pa.bool_(), "error": pa.string()}
+            columns = [pa.array([d[i] for d in done], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays(columns, names=list(kinds))
 
     rows = df.select(F.col(path).alias("path"), F.col(blob).cast("binary").alias("content"))
-    return rows.mapInPandas(write, "path string, bytes long, ok boolean, error string")
+    return rows.mapInArrow(write, "path string, bytes long, ok boolean, error string")
 
 
 def read_blobs(
@@ -78,13 +81,14 @@ def _empty_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     is_empty = lambda f: f.type == fs.FileType.File and f.size == 0 and fnmatch(f.base_name, pattern)
 
     def list_folders(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         for batch in batches:
-            for folder in batch["path"]:
+            for folder in batch.column(0).to_pylist():
                 below = store.get_file_info(fs.FileSelector(folder, recursive=True))
                 found = [f.path for f in below if is_empty(f)]
-                yield pd.DataFrame({"path": found, "content": [b""] * len(found)})
+                columns = [pa.array(found, pa.string()), pa.array([b""] * len(found), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["path", "content"])
 
     schema = "path string, content binary"
     folders = [(f.path,) for f in top if f.type == fs.FileType.Directory]
@@ -92,7 +96,7 @@ def _empty_files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     if len(folders) > 1:
         listed = listed.repartition(min(len(folders), spark.sparkContext.defaultParallelism))
     here = spark.createDataFrame([(f.path, b"") for f in top if is_empty(f)], schema)
-    return here.unionByName(listed.mapInPandas(list_folders, schema))
+    return here.unionByName(listed.mapInArrow(list_folders, schema))
 
 
 def _place(path: Column, root: str, extension: str | None) -> list[Column]:

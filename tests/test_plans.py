@@ -24,7 +24,7 @@ def test_no_bad_operators(spark, small, name):
     if name not in WITH_PRODUCT:
         assert "BroadcastNestedLoopJoin" not in plan
     if name not in WITH_PYTHON:
-        assert "EvalPython" not in plan and "InPandas" not in plan
+        assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan
     # only the starts of the slices, one row each, may be summed in one partition
     for before, after in zip(plan.split("Exchange SinglePartition"), plan.split("Exchange SinglePartition")[1:]):
         above = before.rstrip().splitlines()[-2:]
