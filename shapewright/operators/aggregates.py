@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapewright.functions.numeric import safe_ratio
-from shapewright.operators.numbering import HOT_ROWS, number_in_groups
+from shapewright.operators.numbering import HOT_ROWS, has_hot_group, number_in_groups
 from shapewright.operators.ranking import top_rows
 from shapewright.session import settle
 
+MAX_ITEMS = 1_000_000  # items that may go into one text cell
+
 
 def second_highest(df: DataFrame, value: str, name: str = "second_highest") -> DataFrame:
     """Largest value below the maximum. Always one row; NULL if there is none."""
@@ -45,15 +47,28 @@ def mode_per_group(df: DataFrame, by: list[str], value: str, name: str = "mode")
     return counts.groupBy(*by).agg(best["_value"].alias(name))
 
 
+def _listagg(item: str, sep: str, order: str) -> Column:
+    quoted = sep.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(f"listagg(CAST(`{item}` AS STRING), '{quoted}') WITHIN GROUP (ORDER BY {order})")
+
+
 def ordered_list(
-    df: DataFrame, by: list[str], item: str, name: str = "items", sep: str = ",", trailing_sep: bool = False
+    df: DataFrame,
+    by: list[str],
+    item: str,
+    name: str = "items",
+    sep: str = ",",
+    trailing_sep: bool = False,
+    max_items: int = MAX_ITEMS,
 ) -> DataFrame:
     """Items of a group as one text, in item order. NULL items are skipped; a group of NULLs gives NULL.
 
-    The text is one cell, so it suits groups whose list is short, such as distinct attribute values.
-    For groups of any size use ordered_list_parts.
+    The text is one cell, so the largest group is counted first and more than ``max_items`` is an
+    error; ordered_list_parts takes groups of any size.
     """
-    ordered = F.expr(f"listagg(cast(`{item}` AS string), '{sep}') WITHIN GROUP (ORDER BY cast(`{item}` AS string))")
+    if has_hot_group(df, by, max_items):
+        raise ValueError(f"a group has more than {max_items} rows; use ordered_list_parts")
+    ordered = _listagg(item, sep, f"CAST(`{item}` AS STRING)")
     return df.groupBy(*by).agg((F.concat(ordered, F.lit(sep)) if trailing_sep else ordered).alias(name))
 
 
@@ -74,7 +89,7 @@ def ordered_list_parts(
     """
     placed = number_in_groups(df.filter(F.col(item).isNotNull()), by, order_by, "_place", hot_rows=hot_rows)
     part = F.expr(f"(_place - 1) div {per_part} + 1").alias("part_no")
-    text = F.expr(f"listagg(cast(`{item}` AS string), '{sep}') WITHIN GROUP (ORDER BY _place)")
+    text = _listagg(item, sep, "_place")
     return placed.select(*by, item, "_place", part).groupBy(*by, "part_no").agg(text.alias(name))
 
 

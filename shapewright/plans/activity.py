@@ -72,13 +72,15 @@ def schedule(
     jobs: job_id, job_name, enabled; steps: job_id, step_id, step_name, last_run_outcome;
     job_schedules: job_id, schedule_id, next_run_date, next_run_time; schedules: schedule_id,
     schedule_name, freq_type. The date bound removes jobs without a due schedule, so that join is inner.
+    The join on another key stands between the two on the job, so that each of these shuffles for itself
+    and a busy job can be split.
     """
     due = job_schedules.filter(F.col("next_run_date").between(day_number(as_of), day_number(as_of, 1)))
     joined = (
         flagged(jobs, enabled=1)
         .join(due, "job_id")
-        .join(steps, "job_id", "left")
         .join(schedules, "schedule_id", "left")
+        .join(steps, "job_id", "left")
     )
     report = joined.select(
         "job_name",

@@ -627,7 +627,7 @@ def part_words(t):
     )
     groups = t.part.select(F.col("p_partkey").alias("handle"), F.col("p_size").alias("group_handle"))
     per_part = t.lineitem.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"), F.max("l_shipdate").alias("last"))
-    stats = (
+    stats = settle(
         per_part.join(groups, F.col("l_partkey") == groups["handle"])
         .groupBy("group_handle")
         .agg(F.sum("n").alias("uses"), F.max("last").alias("last_use"))

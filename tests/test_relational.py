@@ -78,6 +78,9 @@ def test_ordered_lists(spark, rows, hot_rows):
         ("e", None),
         (None, "q,"),
     ]
+    with pytest.raises(ValueError, match="ordered_list_parts"):
+        ordered_list(df, ["k"], "v", max_items=2)
+    assert ("c", "a&b'\\b") in rows(ordered_list(df, ["k"], "v", sep="'\\"))
     parts = ordered_list_parts(df, ["k"], "v", "v", per_part=1, hot_rows=hot_rows)
     assert rows(parts, "k", "part_no", "items") == [("c", 1, "a&b"), ("c", 2, "b"), ("d", 1, "z"), (None, 1, "q")]
 
