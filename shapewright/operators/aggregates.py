@@ -47,7 +47,8 @@ def mode_per_group(df: DataFrame, by: list[str], value: str, name: str = "mode")
     return counts.groupBy(*by).agg(best["_value"].alias(name))
 
 
-def _listagg(item: str, sep: str, order: str) -> Column:
+def list_in_order(item: str, sep: str, order: str) -> Column:
+    """Aggregate: the non-NULL items of a group as one text, in the order of an SQL expression."""
     quoted = sep.replace("\\", "\\\\").replace("'", "\\'")
     return F.expr(f"listagg(CAST(`{item}` AS STRING), '{quoted}') WITHIN GROUP (ORDER BY {order})")
 
@@ -68,7 +69,7 @@ def ordered_list(
     """
     if has_hot_group(df, by, max_items):
         raise ValueError(f"a group has more than {max_items} rows; use ordered_list_parts")
-    ordered = _listagg(item, sep, f"CAST(`{item}` AS STRING)")
+    ordered = list_in_order(item, sep, f"CAST(`{item}` AS STRING)")
     return df.groupBy(*by).agg((F.concat(ordered, F.lit(sep)) if trailing_sep else ordered).alias(name))
 
 
@@ -89,7 +90,7 @@ def ordered_list_parts(
     """
     placed = number_in_groups(df.filter(F.col(item).isNotNull()), by, order_by, "_place", hot_rows=hot_rows)
     part = F.expr(f"(_place - 1) div {per_part} + 1").alias("part_no")
-    text = _listagg(item, sep, "_place")
+    text = list_in_order(item, sep, "_place")
     return placed.select(*by, item, "_place", part).groupBy(*by, "part_no").agg(text.alias(name))
 
 

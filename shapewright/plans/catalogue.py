@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from shapewright.functions.binary import bytes_to_text
 from shapewright.functions.text import contains_text, fill_template, quote_name, text_length
-from shapewright.operators.aggregates import mode_per_group, ordered_list_parts
+from shapewright.operators.aggregates import list_in_order, mode_per_group, ordered_list_parts
 from shapewright.operators.joins import expand, lookup
-from shapewright.operators.numbering import HOT_ROWS, number_rows
+from shapewright.operators.numbering import HOT_ROWS, number_in_groups, number_rows
 from shapewright.operators.ranking import sorted_if
 from shapewright.operators.recursion import closure
 
@@ -61,17 +61,24 @@ def key_lists(
 
     columns: parent, column_name, ordinal (unique in the parent), descending, included; partitions:
     parent, setting; extras: parent, extra. Lists come in parts of ``per_part`` names, part_no 1
-    holding the first; a parent without any listed column does not appear.
+    holding the first; a parent without any listed column does not appear. Both lists come from one
+    pass over the columns.
     """
     direction = F.when(F.col("descending"), F.lit(" Desc")).otherwise(F.lit(" Asc"))
-    keys = columns.filter(~F.col("included")).withColumn(
-        "shown", F.concat(quote_name(F.col("column_name")), direction)
+    name = quote_name(F.col("column_name"))
+    named = columns.filter(F.col("column_name").isNotNull())
+    placed = number_in_groups(named, ["parent", "included"], "ordinal", "_place", hot_rows=hot_rows)
+    parts = placed.select(
+        "parent",
+        F.expr(f"(_place - 1) div {per_part} + 1").alias("part_no"),
+        "_place",
+        F.when(~F.col("included"), F.concat(name, direction)).alias("_key"),
+        F.when(F.col("included"), name).alias("_other"),
     )
-    others = columns.filter(F.col("included")).withColumn("shown", quote_name(F.col("column_name")))
-    listed = lambda df, name: ordered_list_parts(
-        df, ["parent"], "shown", "ordinal", per_part, name, hot_rows=hot_rows
+    both = parts.groupBy("parent", "part_no").agg(
+        list_in_order("_key", ",", "_place").alias("key_columns"),
+        list_in_order("_other", ",", "_place").alias("included_columns"),
     )
-    both = listed(keys, "key_columns").join(listed(others, "included_columns"), ["parent", "part_no"], "full")
     main = mode_per_group(partitions, ["parent"], "setting", "main_setting")
     return both.join(main, "parent", "left").join(extras, "parent", "left")
 

@@ -260,7 +260,7 @@ def qualify_nations(t):
 )
 def quarantine_documents(t):
     checks = {
-        "no number": nulls.to_number(F.split_part("text", F.lit(" "), F.lit(1)), "bigint").isNotNull(),
+        "no number": nulls.to_number(F.substring_index("text", " ", 1), "bigint").isNotNull(),
         "short": F.col("n_chars") > 100,
     }
     return quarantine(t.documents, checks)[1].select("doc_id", "error")
