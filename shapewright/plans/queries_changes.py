@@ -66,7 +66,7 @@ def part_strings(t):
 
 @query(
     """SELECT o_orderkey, o_orderkey // 7 AS quotient, o_orderkey % 7 AS rest, (0 - o_orderkey) // 7 AS negative,
-    CAST(o_orderkey / 128.0 AS DECIMAL(14,2)) AS mb, CAST(((o_orderkey + 300) // 600) / 100 AS DECIMAL(10,2)) AS minutes,
+    CAST(o_orderkey / 128.0 AS DECIMAL(14,2))::DOUBLE AS mb, CAST(((o_orderkey + 300) // 600) / 100 AS DECIMAL(10,2))::DOUBLE AS minutes,
     round(coalesce(CAST(o_custkey AS DOUBLE) / nullif(o_orderkey % 5, 0), 0), 2) AS ratio,
     CAST(32767 AS BIGINT) AS lim, o_orderkey / 1048576 AS from_bytes, o_orderkey / 32767 AS used FROM orders""",
     "numbers",
@@ -118,7 +118,7 @@ def json_field(t):
 
 
 @query(
-    r"""SELECT page_id, replace(url, '/', '\') AS path, encode(html) AS html, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder,
+    r"""SELECT page_id, replace(url, '/', '\') AS path, hex(encode(html)) AS html, regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder,
     regexp_replace(string_split(url, '/')[-1], '(?i)\.html$', '') AS leaf FROM pages WHERE url NOT LIKE '%?%'"""
 )
 def path_split(t):
@@ -215,8 +215,8 @@ def update_customers(t):
 
 
 @query(
-    """SELECT user_id AS id, ts AS changed, CAST(value AS DECIMAL(19,4)) AS rate FROM events WHERE event_type = 'purchase'
-    UNION ALL SELECT c_custkey, TIMESTAMP '2023-12-31', CAST(c_acctbal AS DECIMAL(19,4)) FROM customer"""
+    """SELECT user_id AS id, ts AS changed, CAST(value AS DECIMAL(19,4))::DOUBLE AS rate FROM events WHERE event_type = 'purchase'
+    UNION ALL SELECT c_custkey, TIMESTAMP '2023-12-31', CAST(c_acctbal AS DECIMAL(19,4))::DOUBLE FROM customer"""
 )
 def pay_log(t):
     """The dated rows an update appends beside the changed table."""
@@ -295,7 +295,7 @@ def materialised_reuse(t):
     return rows.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.max("o_orderdate").alias("last"))
 
 
-@query("SELECT '/' || split_part(url, '/', 4) AS folder, 'page' || page_id AS name, encode(html) AS content FROM pages", "blob_round_trip")
+@query("SELECT '/' || split_part(url, '/', 4) AS folder, 'page' || page_id AS name, hex(encode(html)) AS content FROM pages", "blob_round_trip")
 def page_files(t):
     root = new_folder(t.spark, "pages")
     path = text.fill_template("/{lang}/page{id}.html", lang=F.split_part("url", F.lit("/"), F.lit(4)), id=F.col("page_id"))

@@ -481,8 +481,8 @@ def event_waits(t):
 
 
 @query(
-    """SELECT c_custkey AS session_id, c_name AS login, CAST(event_id % 10000 / 100 AS DECIMAL(6,2)) AS percent_complete,
-    CAST(((event_id * 977 + 300) // 600) / 100 AS DECIMAL(10,2)) AS elapsed_min, CAST(((event_id * 1000 + 300) // 600) / 100 AS DECIMAL(10,2)) AS eta_min,
+    """SELECT c_custkey AS session_id, c_name AS login, CAST(event_id % 10000 / 100 AS DECIMAL(6,2))::DOUBLE AS percent_complete,
+    CAST(((event_id * 977 + 300) // 600) / 100 AS DECIMAL(10,2))::DOUBLE AS elapsed_min, CAST(((event_id * 1000 + 300) // 600) / 100 AS DECIMAL(10,2))::DOUBLE AS eta_min,
     strftime(TIMESTAMP '2024-01-31' + event_id * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS eta, substr(props, 3, 4) AS statement
     FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n = 1)
     ON user_id = c_custkey""",
@@ -504,8 +504,8 @@ def user_requests(t):
 
 
 @query(
-    """SELECT source AS file_name, doc_id AS group_id, CAST(n_chars / 128.0 AS DECIMAL(14,2)) AS allocated_mb,
-    CAST((n_chars // 2) / 128.0 AS DECIMAL(14,2)) AS used_mb FROM documents""",
+    """SELECT source AS file_name, doc_id AS group_id, CAST(n_chars / 128.0 AS DECIMAL(14,2))::DOUBLE AS allocated_mb,
+    CAST((n_chars // 2) / 128.0 AS DECIMAL(14,2))::DOUBLE AS used_mb FROM documents""",
     "space_report",
 )
 def document_space(t):

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, DecimalType, StructType
 
 from shapewright.sources.tables import scan
 
@@ -34,12 +35,20 @@ class Tables:
         return table
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles and bytes as hexadecimal text, which every engine's client shows alike."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    changed = {n: F.col(f"`{n}`").cast("double") for n, k in kinds.items() if isinstance(k, DecimalType)}
+    changed |= {n: F.hex(F.col(f"`{n}`")) for n, k in kinds.items() if isinstance(k, BinaryType)}
+    return df.withColumns(changed) if changed else df
+
+
 def query(sql: str | None = None, name: str | None = None):
     """Registers fn(tables) under its own name or the given one."""
 
     def register(fn: Callable[[Tables], DataFrame]):
         key = name or fn.__name__
-        QUERIES[key] = lambda spark, folder: fn(Tables(spark, folder))
+        QUERIES[key] = lambda spark, folder: _plain(fn(Tables(spark, folder)))
         if sql is not None:
             ORACLES[key] = sql
         return fn
