@@ -50,6 +50,9 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_settled: list[str] = []
+
+
 def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """Write the rows once to the shared folder and go on from the files.
 
@@ -59,4 +62,20 @@ def settle(df: DataFrame, label: str = "settled") -> DataFrame:
     """
     path = new_folder(df.sparkSession, label)
     df.write.parquet(path)
+    _settled.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what settle wrote in this process; returns the number of folders.
+
+    For long-lived applications: call it when the results that were built on the settled rows have
+    been written.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _settled:
+        place = jvm.org.apache.hadoop.fs.Path(_settled.pop())
+        count += bool(place.getFileSystem(conf).delete(place, True))
+    return count

@@ -5,7 +5,15 @@ from pyspark.sql import functions as F
 
 from shapewright.functions.text import quote_name
 from shapewright.plans.access import database_roles, grant_lines, membership_matrix, role_grants, server_roles
-from shapewright.plans.activity import access_counts, execution_errors, job_history, run_history, usage_stats
+from shapewright.plans.activity import (
+    access_counts,
+    execution_details,
+    execution_errors,
+    job_history,
+    run_history,
+    staleness,
+    usage_stats,
+)
 from shapewright.plans.capacity import keyspace_used, range_ordinal, range_partitions, space_report
 from shapewright.plans.catalogue import advice_expand, catalogue_search, child_lines, key_lists, threshold_report
 
@@ -80,6 +88,9 @@ def test_execution_errors(spark, rows):
     events = spark.createDataFrame(places, "operation_id int, message_id int, package string, path string")
     found = execution_errors(executions, operations, messages, events, "p")
     assert rows(found, "message") == [("ERROR a",), ("Error 100%",)]
+    details = execution_details(executions, operations, messages, events, "p", 2)
+    assert rows(details, "execution_id", "message", "path")[:2] == [(10, None, None), (11, "ERROR a", "/x")]
+    assert len(rows(details)) == 6
     cased = execution_errors(executions, operations, messages, events, "p", case_insensitive=False)
     assert rows(cased, "message") == [("Error 100%",)]
 
@@ -239,5 +250,12 @@ def test_advice_and_threshold(spark, rows):
     assert len(rows(threshold_report(parts, names, ["o", "i"], "T", "pct"))) == 2
 
 
+def test_final_order_on_request(spark):
+    log = ntz(spark.createDataFrame([(k, f"2024-01-{k + 1:02d}") for k in range(20)], "k int, at string"), "at")
+    assert [r.k for r in staleness(log, "k", "at", sort=True).collect()] == list(range(19, -1, -1))
+    shares = {str(n): (spark.createDataFrame([(n,)], "k byte"), "k") for n in (5, 100, 50)}
+    assert [r.current_value for r in keyspace_used(shares, 0.0, sort=True).collect()] == [100, 50, 5]
+
+
 def test_quote_name_in_headers(spark):
     assert spark.range(1).select(quote_name(F.lit("a]b"))).first()[0] == "[a]]b]"

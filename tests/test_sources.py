@@ -1,7 +1,9 @@
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
-from shapewright.session import new_folder, settle, shared_folder
+from shapewright.session import new_folder, release, settle, shared_folder
 from shapewright.sources.blobs import path_projection, read_blobs, write_blobs
 from shapewright.sources.tables import column_profile, materialise, profile_tables, scan
 
@@ -16,6 +18,14 @@ def test_settle_freezes_values(spark, rows):
     assert rows(frozen) == rows(frozen)
 
 
+def test_release(spark):
+    release(spark)
+    folder = Path(settle(spark.range(3), "gone").inputFiles()[0].removeprefix("file://")).parent
+    assert folder.is_dir() and folder.name.startswith("gone-")
+    assert release(spark) == 1 and not folder.exists()
+    assert release(spark) == 0
+
+
 def test_scan(spark, small):
     assert scan(spark, small, "nation").count() == 25
     assert scan(spark, small, "nation", "n_nationkey int").columns == ["n_nationkey"]
