@@ -67,11 +67,16 @@ def expand(df: DataFrame, items: Column, name: str, place: str | None = None, ke
 
 
 def all_combinations(left: DataFrame, right: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Every pair of two small domains. Both are counted first; a product above ``max_rows`` is an error."""
+    """Every pair of two small domains, such as the cells of a report grid.
+
+    Both are counted first; a product above ``max_rows`` is an error. The counted right side then goes
+    to the left rows as one array, so no join without a key is planned.
+    """
     n_left, n_right = left.limit(max_rows + 1).count(), right.limit(max_rows + 1).count()
     if n_left * n_right > max_rows:
         raise ValueError(f"{n_left} x {n_right} rows is more than max_rows={max_rows}")
-    return left.crossJoin(F.broadcast(right))
+    domain = right.agg(F.collect_list(F.struct(*right.columns))).scalar()
+    return left.withColumn("_domain", domain).select(*left.columns, F.inline("_domain"))
 
 
 def waits_with_holder(waits: DataFrame, holders: DataFrame, resource, keep_free: bool = True) -> DataFrame:

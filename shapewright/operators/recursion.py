@@ -15,21 +15,29 @@ from shapewright.session import settle
 MAX_DEPTH = 1000
 
 
-def _walk(df: DataFrame, roots: DataFrame, id_col: str, parent: str, carry: dict[str, Column], max_depth: int):
-    """Levels from the roots down. ``carry`` gives columns computed from parent values (as _up_<name>)."""
-    levels = [settle(roots.withColumn("level", F.lit(0)), "level")]
-    while not levels[-1].isEmpty():
-        if len(levels) > max_depth:
+def _walk(df, is_top: Column, id_col: str, parent: str, needs: list[str], carry: dict, max_depth: int) -> DataFrame:
+    """Rows reachable from the top rows, with their level and carried values.
+
+    ``carry`` is {new column: (value of a top row, value from the parent's _up_<column>)}, made from
+    the columns in ``needs``. The walk itself moves only ids and carried values; the rows are joined
+    to the visited ids once at the end.
+    """
+    narrow = df.select(*dict.fromkeys([id_col, parent, *needs]))
+    step = lambda rows, at, level: rows.select(
+        F.col(id_col).alias("_up_id"), level.alias("_up_level"), *[made[at].alias(f"_up_{c}") for c, made in carry.items()]
+    )
+    level = (F.col("_up_level") + 1).cast("int")
+    visited = [settle(step(narrow.filter(is_top), 0, F.lit(0)), "level")]
+    while not visited[-1].isEmpty():
+        if len(visited) > max_depth:
             raise RuntimeError(f"still rows below level {max_depth}: a cycle or a deeper tree")
-        up = levels[-1].select(
-            F.col(id_col).alias("_up_id"),
-            (F.col("level") + 1).alias("level"),
-            *[F.col(c).alias(f"_up_{c}") for c in carry],
-        )
-        below = df.join(up, df[parent] == up["_up_id"])
-        below = below.select(*df.columns, *[made.alias(c) for c, made in carry.items()], "level")
-        levels.append(settle(below, "level"))
-    return append_all(*levels[:-1]) if len(levels) > 1 else levels[0]
+        below = narrow.join(visited[-1], narrow[parent] == F.col("_up_id")).drop("_up_id")
+        visited.append(settle(step(below, 1, level), "level"))
+    whole = lambda rows, at, level: rows.select(
+        *[F.col(f"`{c}`") for c in df.columns], *[made[at].alias(c) for c, made in carry.items()], level.alias("level")
+    )
+    top = whole(df.filter(is_top), 0, F.lit(0))
+    return append_all(top, whole(df.join(append_all(*visited), df[parent] == F.col("_up_id")), 1, level))
 
 
 def descend(df: DataFrame, id_col: str, parent: str, max_depth: int = MAX_DEPTH) -> DataFrame:
@@ -37,7 +45,7 @@ def descend(df: DataFrame, id_col: str, parent: str, max_depth: int = MAX_DEPTH)
 
     Nothing is deduplicated: a row reached twice comes twice, and a cycle ends in an error.
     """
-    return _walk(df, df.filter(F.col(parent).isNull()), id_col, parent, {}, max_depth)
+    return _walk(df, F.col(parent).isNull(), id_col, parent, [], {}, max_depth)
 
 
 def paths(
@@ -49,9 +57,9 @@ def paths(
     the path.
     """
     is_top = F.col(parent).isNull() if root is None else F.col(parent) == F.lit(root)
-    top = df.filter(is_top).withColumn("path", F.col(name).cast("string"))
-    longer = F.concat(F.col("_up_path"), F.lit(sep), F.col(name).cast("string"))
-    return _walk(df, top, id_col, parent, {"path": longer}, max_depth)
+    here = F.col(name).cast("string")
+    carry = {"path": (here, F.concat(F.col("_up_path"), F.lit(sep), here))}
+    return _walk(df, is_top, id_col, parent, [name], carry, max_depth)
 
 
 def closure(

@@ -10,7 +10,6 @@ from shapewright.plans.capacity import range_partitions
 from shapewright.sources.tables import scan
 
 WITH_PYTHON = {"blob_round_trip"}
-WITH_PRODUCT = {"cross_join"}
 
 
 def plan_of(df):
@@ -20,9 +19,7 @@ def plan_of(df):
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_no_bad_operators(spark, small, name):
     plan = plan_of(queries()[name](spark, small))
-    assert "CartesianProduct" not in plan
-    if name not in WITH_PRODUCT:
-        assert "BroadcastNestedLoopJoin" not in plan
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in WITH_PYTHON:
         assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan
     # only the starts of the slices, one row each, may be summed in one partition
