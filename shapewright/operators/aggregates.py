@@ -99,22 +99,18 @@ def pivot_count(df: DataFrame, keys: list[str], column: str, headers: list) -> D
     return _spread(df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_rows")), keys, column, headers)
 
 
-def pivot_dynamic(
-    df: DataFrame, keys: list[str], column: str, order_by: list[Column] | None = None, cap: int = 1000
-) -> DataFrame:
-    """pivot_count with the headers taken from the data; the table is read once."""
-    return spread_counts(settled_counts(df, keys, column), keys, column, order_by, cap)
-
+def pivot_dynamic(df: DataFrame, keys: list[str], column: str, rank: Column | None = None, cap: int = 1000) -> DataFrame:
+    """pivot_count with the headers taken from the data, lowest ``rank`` first, then by name.
 
-def settled_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Rows per key and header value, written down because headers and cells are both read from them."""
-    return settle(df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_rows")), "counts")
+    The table is read once: headers and cells both come from the settled counts.
+    """
+    counts = df.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("_rows"), F.min(_rank_or_zero(rank)).alias("_rank"))
+    counts = settle(counts, "counts")
+    return _spread(counts, keys, column, header_values(counts, column, F.col("_rank"), cap))
 
 
-def spread_counts(
-    counts: DataFrame, keys: list[str], column: str, order_by: list[Column] | None = None, cap: int = 1000
-) -> DataFrame:
-    return _spread(counts, keys, column, header_values(counts, column, order_by, cap))
+def _rank_or_zero(rank: Column | None) -> Column:
+    return F.lit(0) if rank is None else rank
 
 
 def _spread(counts: DataFrame, keys: list[str], column: str, headers: list) -> DataFrame:
@@ -124,10 +120,10 @@ def _spread(counts: DataFrame, keys: list[str], column: str, headers: list) -> D
     return cells.fillna(0, [c for c in cells.columns if c not in keys])
 
 
-def header_values(df: DataFrame, column: str, order_by: list[Column] | None = None, cap: int = 1000) -> list:
-    """Distinct non-NULL values that become column names, in a stable order. More than ``cap`` is an error."""
-    names = df.filter(F.col(column).isNotNull()).select(column).distinct()
-    found = [r[0] for r in names.orderBy(*(order_by or []), F.col(column)).limit(cap + 1).collect()]
+def header_values(df: DataFrame, column: str, rank: Column | None = None, cap: int = 1000) -> list:
+    """Distinct non-NULL values that become column names, by lowest rank and name. More than ``cap`` is an error."""
+    names = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(_rank_or_zero(rank)).alias("_rank"))
+    found = [r[0] for r in names.orderBy("_rank", column).limit(cap + 1).collect()]
     if len(found) > cap:
         raise ValueError(f"{column} has more than {cap} values; they cannot all become columns")
     return found

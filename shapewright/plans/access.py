@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapewright.functions.text import fill_template, quote_name
-from shapewright.operators.aggregates import settled_counts, spread_counts
+from shapewright.operators.aggregates import pivot_dynamic
 from shapewright.operators.filters import first_match
 from shapewright.operators.joins import lookup
 from shapewright.operators.ranking import sorted_if
@@ -75,18 +75,12 @@ def membership_matrix(server: DataFrame, databases: DataFrame, cap: int = 1000,
     distinct role names come to the driver, and no more than ``cap``.
     """
     role = F.col("role_name")
-    on_server = settled_counts(server, ROLE_KEYS, "role_name")
-    in_databases = settled_counts(databases, ROLE_KEYS, "role_name")
-    # rows of unlisted roles keep their login, with 0 in every column
-    listed = F.when(~role.like("MSRepl%"), role)
-    in_databases = in_databases.withColumn("role_name", listed)
-    matrix = spread_counts(on_server, ROLE_KEYS, "role_name", [role != "sysadmin"], cap).unionByName(
-        spread_counts(in_databases, ROLE_KEYS, "role_name", [F.left(role, F.lit(3)) != "db_"], cap),
-        allowMissingColumns=True,
-    )
-    heads = [c for c in matrix.columns if c not in ROLE_KEYS]
-    order = ["server_name", "login_type", "login_name", "database_name"]
-    return sorted_if(matrix.fillna(0, heads), sort, *order)
+    server = server.withColumn("_class", F.when(role == "sysadmin", 1).otherwise(2))
+    # a role that is not listed keeps its login, with 0 in every column
+    listed = databases.withColumn("role_name", F.when(~role.like("MSRepl%"), role))
+    listed = listed.withColumn("_class", F.when(F.left(role, F.lit(3)) == "db_", 3).otherwise(4))
+    matrix = pivot_dynamic(append_all(server, listed), ROLE_KEYS, "role_name", F.col("_class"), cap)
+    return sorted_if(matrix, sort, "server_name", "login_type", "login_name", "database_name")
 
 
 def role_grants(

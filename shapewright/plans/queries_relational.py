@@ -337,7 +337,7 @@ def pivot_count_orders(t):
 
 @query(PIVOT + " FROM orders GROUP BY o_orderstatus", "pivot_dynamic")
 def pivot_dynamic_orders(t):
-    urgent_first = [F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1)]
+    urgent_first = F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1)
     return pivot_dynamic(t.orders, ["o_orderstatus"], "o_orderpriority", urgent_first)
 
 

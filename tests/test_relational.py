@@ -89,7 +89,7 @@ def test_pivots(spark, rows):
     df = spark.createDataFrame([("u", "a]b"), ("u", "a]b"), ("v", "c"), ("w", None)], "who string, role string")
     fixed = pivot_count(df, ["who"], "role", ["c", "none"])
     assert rows(fixed, "who", "c", "none") == [("u", 0, 0), ("v", 1, 0), ("w", 0, 0)]
-    first_c = [F.when(F.col("role") == "c", 0).otherwise(1)]
+    first_c = F.when(F.col("role") == "c", 0).otherwise(1)
     made = pivot_dynamic(df, ["who"], "role", first_c)
     assert made.columns == ["who", "c", "a]b"]
     assert rows(made) == [("u", 0, 2), ("v", 1, 0), ("w", 0, 0)]
