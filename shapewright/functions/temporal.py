@@ -31,14 +31,33 @@ def shift(ts: Column, unit: str, amount: int) -> Column:
     return F.timestamp_add(unit.upper(), F.lit(amount), ts)
 
 
+def _since(ts: Column, start: str) -> Column:
+    """Interval from a start to the time as the wall clock shows it, whatever the session's zone."""
+    return ts.cast("timestamp_ntz") - F.lit(start).cast("timestamp_ntz")
+
+
+def utc_instant(ts: Column) -> Column:
+    """A time without zone read as UTC; the type that watermarks need."""
+    seconds = _since(ts, "1970-01-01").cast("interval second").cast("decimal(18,6)")
+    return F.timestamp_micros((seconds * 1_000_000).cast("long"))
+
+
+def utc_wall_time(ts: Column) -> Column:
+    """The reverse of utc_instant."""
+    seconds = (F.unix_micros(ts).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def seconds_between(start: Column, end: Column) -> Column:
     """DATEDIFF(second): second boundaries crossed, so 0.9 s to 1.1 s counts 1."""
-    return F.unix_seconds(end.cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))
+    second = lambda ts: _since(ts, "0001-01-01").cast("interval second").cast("long")
+    return second(end) - second(start)
 
 
 def millis_between(start: Column, end: Column) -> Column:
-    """DATEDIFF(millisecond)."""
-    return F.unix_millis(end.cast("timestamp")) - F.unix_millis(start.cast("timestamp"))
+    """DATEDIFF(millisecond), for times from 1900 on."""
+    milli = lambda ts: (_since(ts, "1900-01-01") * 1000).cast("interval second").cast("long")
+    return milli(end) - milli(start)
 
 
 def date_to_int(ts: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from shapewright.functions.temporal import utc_instant, utc_wall_time
 from shapewright.operators.changes import history_from_feed
 from shapewright.operators.ranking import latest_per_key
 
@@ -59,11 +60,11 @@ def read_latest(updates: DataFrame, key: str) -> DataFrame:
 
 def usage_counts(rows: DataFrame, ts: str, key: str, value: Column, late: str = "1 hour", width: str = "1 day"):
     """Rows and value total per day and key; a day closes when the watermark passes its end."""
-    timed = rows.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
+    timed = rows.withColumn("_ts", utc_instant(F.col(ts))).withWatermark("_ts", late)
     return (
         timed.groupBy(F.window("_ts", width).alias("_span"), F.col(key))
         .agg(F.count(F.lit(1)).alias("uses"), F.sum(value).alias("total"))
-        .select(F.col("_span.start").cast("timestamp_ntz").alias("period_start"), key, "uses", "total")
+        .select(utc_wall_time(F.col("_span.start")).alias("period_start"), key, "uses", "total")
     )
 
 

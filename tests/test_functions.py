@@ -50,6 +50,10 @@ def cases():
         ("limit of bigint", M.key_limit, (64,), 9223372036854775807),
         ("negative key", M.share_used, (L(-5), L(10)), 0.5),
         ("seconds are crossed boundaries", D.seconds_between, (at("2024-01-01 00:00:00.9"), at("2024-01-01 00:00:01.1")), 1),
+        ("before 1970 too", D.seconds_between, (at("1969-12-31 23:59:58.9"), at("1970-01-01 00:00:00.1")), 2),
+        ("a year with a clock change", D.seconds_between, (at("2024-01-01"), at("2024-07-01")), 182 * 86400),
+        ("milliseconds are boundaries", D.millis_between, (at("2024-01-01 00:00:00.0009"), at("2024-01-01 00:00:00.001")), 1),
+        ("zone and back", lambda ts: D.utc_wall_time(D.utc_instant(ts)), (at("2024-03-10 02:30:00.123456"),), datetime(2024, 3, 10, 2, 30, 0, 123456)),
         ("open end is NULL", D.seconds_between, (at("2024-01-01"), at(None)), None),
         ("end before start", D.millis_between, (at("2024-01-01 00:00:01"), at("2024-01-01")), -1000),
         ("midnight", D.decode_datetime, (L(20240131), L(0)), datetime(2024, 1, 31)),
@@ -76,10 +80,13 @@ def cases():
     ]
 
 
-def test_all_cases(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_all_cases(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
     known = cases()
     made = spark.range(1).select(*[fn(*args).alias(f"c{i}") for i, (_, fn, args, _) in enumerate(known)]).first()
     wrong = {c[0]: (made[i], c[3]) for i, c in enumerate(known) if made[i] != c[3]}
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert not wrong
 
 
