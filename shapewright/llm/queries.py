@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from shapewright.llm import mixing, token_counts, urls
+from shapewright.llm import licenses, mixing, token_counts, toxicity, urls
 
 QUERIES = {
+    "op2_licenses": licenses.op2_licenses,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_urls": urls.op5_urls,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op10_mixing": mixing.op10_mixing,
 }
 
