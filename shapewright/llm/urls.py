@@ -130,12 +130,12 @@ WITH cut AS (
   SELECT page_id, coalesce(url, '') AS u, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS after
   FROM pages
 ), split AS (
-  SELECT page_id, u, translate(regexp_extract(after, '^([^/?#]*)', 1), '{"ABCDEFGHIJKLMNOPQRSTUVWXYZ"}', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, u, translate(regexp_extract(after, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(after, '^[^/?#]*([^?#]*)', 1) AS path, {_LISTS}
   FROM cut
 ), hits AS (
-  SELECT *, list_filter(regexp_split_to_array(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), t -> list_contains(strict, t)) AS s,
-    list_filter(regexp_split_to_array(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), t -> list_contains(soft, t)) AS f
+  SELECT *, [t FOR t IN regexp_split_to_array(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') IF list_contains(strict, t)] AS s,
+    [t FOR t IN regexp_split_to_array(translate(u, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+') IF list_contains(soft, t)] AS f
   FROM split
 ), rules(rh, rp, rv) AS (
   VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')
