@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from shapewright.llm import licenses, mixing, token_counts, toxicity, urls
+from shapewright.llm import fingerprints, licenses, mixing, substrings, token_counts, toxicity, urls
 
 QUERIES = {
     "op2_licenses": licenses.op2_licenses,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_urls": urls.op5_urls,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op9_substrings": substrings.op9_substrings,
     "op10_mixing": mixing.op10_mixing,
 }
 
