@@ -80,8 +80,7 @@ def _level(rows: DataFrame, cuts: DataFrame, digits: int) -> DataFrame:
     ``cuts``: source, prefix (of the hash), want (words still to take inside the prefix). A level has at
     most 16**BUCKET_DIGITS buckets a source, summed map-side, so the window is over few narrow rows.
     """
-    inside = rows.join(cuts, rows["source"].eqNullSafe(cuts["source"])).drop(cuts["source"])
-    inside = inside.filter(F.col("order").startswith(F.col("prefix")))
+    inside = _inside(rows, cuts)
     bucket = F.substring("order", 1, digits)
     sums = inside.groupBy("source", bucket.alias("bucket")).agg(
         F.sum("size").alias("size"), F.max("want").alias("want")
@@ -126,10 +125,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=Fraction(3, 2), max_epochs: int
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
 
 
+def _inside(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    cuts = cuts.select(F.col("source").alias("_source"), "prefix", "want")
+    inside = rows.join(cuts, rows["source"].eqNullSafe(cuts["_source"])).drop("_source")
+    return inside.filter(F.col("order").startswith(F.col("prefix")))
+
+
 def _single(rows: DataFrame, cuts: DataFrame) -> bool:
     """True if no cut holds two different places of the order any more."""
-    inside = rows.join(cuts, rows["source"].eqNullSafe(cuts["source"])).drop(cuts["source"])
-    inside = inside.filter(F.col("order").startswith(F.col("prefix")))
+    inside = _inside(rows, cuts)
     return inside.groupBy("source").agg(F.min("order").alias("a"), F.max("order").alias("b")).filter("a < b").isEmpty()
 
 
