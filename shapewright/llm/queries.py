@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from shapewright.llm import fingerprints, licenses, mixing, substrings, token_counts, toxicity, urls
+from shapewright.llm import decontamination, fingerprints, licenses, mixing, pii, substrings, token_counts, toxicity, urls
 
 QUERIES = {
+    "op1_decontamination": decontamination.op1_decontamination,
     "op2_licenses": licenses.op2_licenses,
+    "op3_pii": pii.op3_pii,
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_urls": urls.op5_urls,
     "op6_toxicity": toxicity.op6_toxicity,
