@@ -21,10 +21,10 @@ WEIGHTS = (5, 2, 1)
 BUCKET_DIGITS = 3  # hexadecimal digits of the hash by which a level of the search narrows the cut
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the number of words of each document; no text counts 0."""
+def document_sizes(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, ``keep`` columns and the number of words of each document; no text counts 0."""
     words = F.regexp_count("text", F.lit(SPACE_WORD))
-    return docs.select("doc_id", "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", "source", *keep, F.coalesce(words, F.lit(0)).cast("long").alias("size"))
 
 
 def source_weights(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -91,12 +91,12 @@ def _level(rows: DataFrame, cuts: DataFrame, digits: int) -> DataFrame:
     return sums.filter(holds).select("source", F.col("bucket").alias("prefix"), (F.col("want") - F.col("before")).alias("want"), "size")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=Fraction(3, 2), max_epochs: int = 2, seed: int = 17) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies: how often the mix takes each document.
+def mix(docs: DataFrame, weights=WEIGHTS, share=Fraction(3, 2), max_epochs: int = 2, seed: int = 17, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, ``keep`` columns, size, source_size, target, copies: how often the mix takes each document.
 
     Ties: rows that repeat a doc_id within a source come at one place of the order, so all of them or
     none get the fractional copy. Null ids are ordered as an empty id. Documents without words are
-    repeated like their neighbours and add nothing. No documents: no rows. Extra columns are ignored.
+    repeated like their neighbours and add nothing. No documents: no rows. Columns not in ``keep`` are ignored.
 
     Sources, cuts and level sums are as many as sources (times at most 4096 buckets). Documents are only
     read, filtered and joined with one row per source: by broadcast if Spark measures the sources as
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=Fraction(3, 2), max_epochs: int
     """
     stages = Stages(docs.sparkSession)
     order = F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = stages.write("mix-sizes", document_sizes(docs).withColumn("order", order))
+    rows = stages.write("mix-sizes", document_sizes(docs, keep).withColumn("order", order))
     sources = water_fill(source_weights(rows, weights), share, max_epochs)
     sources = stages.write("mix-sources", sources.coalesce(1))
     whole = F.floor(F.try_divide(F.col("target"), F.col("source_size")))
@@ -122,7 +122,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=Fraction(3, 2), max_epochs: int
     out = rows.join(placed, rows["source"].eqNullSafe(placed["_source"]))
     at = F.substring("order", 1, F.length("prefix"))
     extra = F.when(at < F.col("prefix"), 1).when((at == F.col("prefix")) & F.col("half"), 1).otherwise(0)
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    return out.select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
 
 
 def _inside(rows: DataFrame, cuts: DataFrame) -> DataFrame:

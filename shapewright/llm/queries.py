@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shapewright.llm import decontamination, fingerprints, licenses, mixing, pii, substrings, token_counts, toxicity, urls
+from shapewright.llm import decontamination, fingerprints, jaccard, licenses, mixing, pii, substrings, token_counts, toxicity, urls
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_urls": urls.op5_urls,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_jaccard": jaccard.op8_jaccard,
     "op9_substrings": substrings.op9_substrings,
     "op10_mixing": mixing.op10_mixing,
 }
