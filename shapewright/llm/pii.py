@@ -28,8 +28,15 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: a string that may be an identifier: begins with a letter or digit and holds a digit
-TOKEN = r"(?<![A-Za-z0-9_#./:@-])(?=[A-Za-z_#./:@-]*+[0-9])[A-Za-z0-9][A-Za-z0-9_#./:@-]*+(?<=[A-Za-z0-9])"
+#: a string that may be an identifier: what looks like a base match, or begins with a letter or digit and holds a digit
+TOKEN = "|".join(
+    [
+        PATTERNS["phone"],
+        PATTERNS["email"],
+        r"[0-9](?:[\x20-]?[0-9]){13,}+",
+        r"(?<![A-Za-z0-9_#./:@-])(?=[A-Za-z_#./:@-]*+[0-9])[A-Za-z0-9](?:[A-Za-z0-9_#/:@-]|\.(?=[A-Za-z0-9]))*+",
+    ]
+)
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _ADDRESS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 SIDE = 64  # code points on either side in which the words of a context are looked for
