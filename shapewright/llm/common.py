@@ -31,11 +31,25 @@ class Stages:
 
     A stage survives lost executors, later steps read only the columns they need, and the shuffle files
     of the job that wrote it are deleted at its end. A stage that is no longer needed can be dropped.
+    Results are lazy and read their last stages, so those stay until ``release``.
     """
 
+    written: list[Stages] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folders: dict[str, str] = {}
+        Stages.written.append(self)
+
+    @classmethod
+    def release(cls) -> int:
+        """Deletes all stages that this process wrote; for when the results built on them have been written."""
+        count = 0
+        while cls.written:
+            stages = cls.written.pop()
+            count += len(stages.folders)
+            stages.drop(*list(stages.folders))
+        return count
 
     def write(self, name: str, df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
         folder = new_folder(self.spark, name)

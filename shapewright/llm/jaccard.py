@@ -349,3 +349,30 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
 def op8_jaccard(spark, sf_dir: str) -> DataFrame:
     """Class of linked documents of every document."""
     return link_classes(table(spark, sf_dir, "documents")).drop("size")
+
+
+#: no id here is null or repeated; shingles are words joined by single spaces
+OP8_SQL = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingled AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(words) >= 5 THEN [array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)]
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS shingle
+  FROM worded
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingled GROUP BY doc_id
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM shingled a JOIN shingled b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), links AS (
+  SELECT x, y FROM pairs JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)
+), reached AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
+), lowest AS (
+  SELECT x, min(y) AS y FROM reached GROUP BY x
+)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(l.y, w.doc_id))::BIGINT AS component_id
+FROM worded w LEFT JOIN sizes s ON s.doc_id = w.doc_id LEFT JOIN lowest l ON l.x = w.doc_id
+"""

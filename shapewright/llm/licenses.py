@@ -175,3 +175,50 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, base=BASE, k: int = K, s
 def op2_licenses(spark, sf_dir: str) -> DataFrame:
     """License phrases and sentences of every document."""
     return scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+_ROWS = ", ".join(
+    f"({i}, '{label}', {i < len(BASE)}, string_split('{text}', ' '))" for i, (text, label) in enumerate(BASE + TEMPLATES)
+)
+#: no id here is null or repeated; grams are two words joined by a space
+OP2_SQL = rf"""
+WITH templates(template, label, is_base, words) AS (VALUES {_ROWS}),
+template_grams AS (
+  SELECT template, label, is_base, len(words) AS size, unnest([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS gram,
+    unnest(range(0, len(words) - 1)) AS place
+  FROM templates
+), worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), grams AS (
+  SELECT doc_id, unnest([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) AS gram, unnest(range(0, len(words) - 1)) AS pos FROM worded
+), voted AS (
+  SELECT doc_id, template, label, is_base, size, pos - place AS diagonal, list(DISTINCT place) AS places, min(pos) AS first, max(pos) + 2 AS last
+  FROM grams JOIN template_grams USING (gram) GROUP BY ALL
+), based AS (
+  SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list(DISTINCT label) AS labels
+  FROM voted WHERE is_base AND len(places) = size - 1 GROUP BY doc_id
+), stepped AS (
+  SELECT *, CASE WHEN coalesce(abs(diagonal - lag(diagonal) OVER w) > {SHIFT} OR first > lag(last) OVER w + {SHIFT}, true) THEN 1 ELSE 0 END AS opens
+  FROM voted WINDOW w AS (PARTITION BY doc_id, template ORDER BY first, diagonal)
+), islands AS (
+  SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY first, diagonal ROWS UNBOUNDED PRECEDING) AS island FROM stepped
+), merged AS (
+  SELECT doc_id, template, label, size, list_distinct(flatten(list(places))) AS places, min(first) AS first, max(last) AS last
+  FROM islands GROUP BY doc_id, template, label, size, island
+  UNION ALL SELECT doc_id, template, label, size, places, first, last FROM voted
+), scored AS (
+  SELECT doc_id, label, first,
+    len(list_distinct(list_concat(places, [p + 1 FOR p IN places])))::DOUBLE / size * least(1.0::DOUBLE, size::DOUBLE / (last - first)) AS score
+  FROM merged
+), best AS (
+  SELECT *, max(score) OVER (PARTITION BY doc_id ORDER BY first RANGE BETWEEN {SHIFT} PRECEDING AND {SHIFT} FOLLOWING) AS top FROM scored WHERE score >= {MIN_SCORE}
+), found AS (
+  SELECT doc_id, max(score) AS score, list(DISTINCT label) AS labels FROM best WHERE score = top GROUP BY doc_id
+)
+SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(b.n_base, 0)::BIGINT AS n_base, b.first_word::BIGINT AS first_word, b.last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(f.labels, [])))), ','), '') AS labels,
+  coalesce(f.score, 0)::DOUBLE AS score
+FROM worded w LEFT JOIN based b ON b.doc_id = w.doc_id LEFT JOIN found f ON f.doc_id = w.doc_id
+"""

@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_licenses": licenses.OP2_SQL,
     "op4_token_counts": token_counts.OP4_SQL,
     "op5_urls": urls.OP5_SQL,
+    "op8_jaccard": jaccard.OP8_SQL,
+    "op9_substrings": substrings.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
 }

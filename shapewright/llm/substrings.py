@@ -217,3 +217,24 @@ def op9_substrings(spark, sf_dir: str) -> DataFrame:
     """What remains of every document."""
     kept = remove_copies(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
+#: no id here is null or repeated
+OP9_SQL = r"""
+WITH worded AS (
+  SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents)
+), windowed AS (
+  SELECT *, CASE WHEN count(*) OVER ahead = 20 THEN string_agg(word, ' ') OVER ahead END AS run
+  FROM worded WINDOW ahead AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)
+), ranked AS (
+  SELECT doc_id, word, pos, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS again FROM windowed
+), judged AS (
+  SELECT doc_id, word, pos, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM ranked
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS text
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
