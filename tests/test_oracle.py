@@ -5,7 +5,7 @@ from pathlib import Path
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from shapewright.plans.all_queries import ORACLES, QUERIES
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 
@@ -17,7 +17,7 @@ def con(small):
     return connect(small)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_same_rows(spark, small, con, name):
-    problem = compare(spark, con, small, name, queries()[name], oracle_sql().get(name))
+    problem = compare(spark, con, small, name, QUERIES[name], ORACLES.get(name))
     assert problem in (None, "equal, but no rows")
