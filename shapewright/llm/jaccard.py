@@ -5,13 +5,14 @@ a corpus: documents that share nothing with a pivot are at distance 1 from it, a
 triangle inequality would copy all of them everywhere. So regions start as cells of documents that share
 one of their rarest shingles (two linked documents always do), and within a cell:
 
-* a pivot is chosen and every member's distance to it is computed. Members within EPS link to it;
-* members fall into rings of width EPS around the pivot. By the triangle inequality a link reaches from a
-  ring to itself or the next, so each ring with a copy of the next one (the window) is a region;
-* a region whose members are already in one class is finished. The others choose a pivot again.
-
-What is left after ``ROUNDS`` is compared pair by pair, where sizes, shared rest and rings allow a link.
-So classes are exact, while a group of near copies costs one comparison a member, not one a pair.
+* a pivot is chosen and met by every member: sketches bound the distance from below, and where they
+  leave a link possible the whole texts are compared. Members within EPS link to the pivot;
+* they are one region, the others the next. By the triangle inequality a link from the first ends within
+  twice EPS of the pivot, so others that may be there are copied to it (the window);
+* a region whose members are already in one class is finished, one with few members is compared pair by
+  pair, where sizes and what can still be shared allow a link. The others choose a pivot again.
+
+What is left after ``ROUNDS`` is compared pair by pair, too. So classes are exact, while a group of near copies costs one comparison a member, not one a pair.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SHINGLE = 5
 NEAR, OF = 3, 4  # a link needs NEAR / OF of the union in common
 EPS = 1 - NEAR / OF
 ROUNDS = 3
+CORNERS = 256  # classes of shingles that a sketch counts
+LEAF = 8  # regions with no more members are compared pair by pair
 BUCKET_BITS = 18  # frequencies are counted by this many bits of a shingle's hash
 HOT = 32  # a bucket this many times fuller than the mean holds a frequent shingle
 _PLACES = "key long, cell long, sid binary, n int, rest int, core boolean, known boolean"
@@ -84,12 +87,12 @@ def _first_of_each(sizes: np.ndarray, sid: pa.Array) -> np.ndarray:
 
 
 def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, body, n, sid for each row; and bucket, times: how often shingles of a bucket were seen.
+    """doc_id, body, n, sid, sketch for each row; and bucket, times: how often shingles of a bucket were seen.
 
-    Equal sets of a chunk are counted once. Each task adds its counts up before it hands them on.
+    A sketch counts a set's shingles in ``CORNERS`` classes of their hash, up to 255. Equal sets of a chunk are counted once. Each task adds its counts up before it hands them on.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "body", "n", "sid", "bucket", "times"]
+    names = ["doc_id", "body", "n", "sid", "sketch", "bucket", "times"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ids = np.zeros(1 << BUCKET_BITS, dtype=np.int64), None
@@ -100,19 +103,22 @@ def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             chosen = np.zeros(m, dtype=bool)
             chosen[_first_of_each(sizes, sid)] = True
             seen += np.bincount(_bucket(value[chosen[row]]), minlength=len(seen))
+            corners = np.bincount(row * CORNERS + (value % U(CORNERS)).astype(np.int64), minlength=m * CORNERS)
+            counts = pa.py_buffer(np.minimum(corners, 255).astype(np.uint8).tobytes())
+            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CORNERS), m, [None, counts]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("body"), pa.array(sizes), sid, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names
+                [batch.column("doc_id"), batch.column("body"), pa.array(sizes), sid, sketch, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names
             )
         used = np.flatnonzero(seen)
         if len(used):
             m = len(used)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(used.astype(np.int32)), pa.array(seen[used])],
+                [pa.nulls(m, ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(used.astype(np.int32)), pa.array(seen[used])],
                 names=names,
             )
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
-    return narrow.mapInArrow(scan, f"doc_id {kind}, body long, n long, sid binary, bucket int, times long")
+    return narrow.mapInArrow(scan, f"doc_id {kind}, body long, n long, sid binary, sketch binary, bucket int, times long")
 
 
 def frequency_classes(counts: DataFrame) -> np.ndarray:
@@ -251,27 +257,109 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
+def size_bands(cells: DataFrame) -> DataFrame:
+    """Members in regions of a cell and a band of sizes, with the next band as a window.
+
+    Linked sets differ in size by no more than 4/3, the width of a band: the ring of a set around the
+    empty set, so to speak.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / NEAR)) + 1e-9).cast("int")
+    at = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home"))))
+    placed = cells.select("cell", "sid", "n", "rest", "core", at.alias("at"))
+    return placed.select(F.xxhash64("cell", "at.band").alias("region"), "sid", "n", "rest", "core", "at.home")
+
+
 def _unfinished(members: DataFrame) -> DataFrame:
-    """Regions in which several classes meet, with a core and a home member among them; see ``rings``."""
+    """Regions in which several classes meet, with a core and a home member among them; see ``rings``.
+
+    ``least`` and ``most`` bound the sizes and the rests of the members.
+    """
     regions = members.groupBy("region").agg(
-        (F.min("label") != F.max("label")).alias("mixed"), F.bool_or("core").alias("cored"), F.bool_or("home").alias("homely")
+        (F.min("label") != F.max("label")).alias("mixed"),
+        F.bool_or("core").alias("cored"),
+        F.bool_or("home").alias("homely"),
+        F.min("n").alias("least"),
+        F.max("rest").alias("most"),
+        F.count(F.lit(1)).alias("members"),
     )
-    return regions.filter("mixed AND cored AND homely").select("region")
+    return regions.filter("mixed AND cored AND homely").select("region", "least", "most", "members")
 
 
-def rings(members: DataFrame, distances: DataFrame) -> DataFrame:
-    """Members in the regions around their pivots: their own ring, and as a window the ring inside it.
+def _open_members(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """Members of the regions that can have a link there.
 
-    The pivot itself has met everyone and is left out. ``distances``: a (member), b (pivot), distance.
+    A link needs 3/7 of both sizes in common, counted from the shared shingle on, and the other set has at
+    least 3/4 of the size and no less than the smallest here. Who falls short with any partner is left out.
     """
-    met = members.filter("sid <> pivot").join(distances, (F.col("sid") == F.col("a")) & (F.col("pivot") == F.col("b"))).drop("a", "b")
-    ring = F.floor(F.col("distance") / EPS).cast("int")
-    own = F.struct(ring.alias("ring"), F.col("home").alias("home"))
-    inner = F.struct((ring - 1).alias("ring"), F.lit(False).alias("home"))
-    placed = met.select("region", "sid", "n", "rest", "core", F.explode(F.array(own, inner)).alias("at"))
+    near = members.join(regions.drop("members"), "region")
+    partner = F.greatest("least", F.ceil(F.col("n") * NEAR / OF).cast("int"))
+    enough = (NEAR + OF) * F.least("rest", "most") >= NEAR * (F.col("n") + partner)
+    return near.filter(enough).drop("least", "most")
+
+
+def _leaf_pairs(members: DataFrame) -> DataFrame:
+    """a, b of members of one region that may link: in different classes, with a core and a home one, and enough to share."""
+    two = members.select("region", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "rest", "core", "home", "label")])
+    enough = (NEAR + OF) * F.least("rest", "_rest") >= NEAR * (F.col("n") + F.col("_n"))
+    able = enough & (F.col("core") | F.col("_core")) & (F.col("home") | F.col("_home")) & (F.col("label") != F.col("_label"))
+    pairs = members.join(two, "region").filter((F.col("sid") < F.col("_sid")) & able)
+    return pairs.select(F.col("sid").alias("a"), F.col("_sid").alias("b")).distinct()
+
+
+def rings(members: DataFrame, bounds: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members in the regions around their pivots: those near it, and the others.
+
+    A link to a near member (at EPS or less) reaches no farther than twice EPS from the pivot. So others
+    that may be within that window are copied to the near region, to meet its home members. The pivot has
+    met everyone and is left out. ``bounds``: a (member), b (pivot), low (no more than their distance); ``linked``: a, b.
+    """
+    met = members.filter("sid <> pivot").join(
+        bounds.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "low"), ["sid", "pivot"]
+    )
+    met = met.join(linked.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), F.lit(True).alias("near")), ["sid", "pivot"], "left")
+    near = F.coalesce("near", F.lit(False))
+    inner = F.struct(F.lit(0).alias("ring"), (near & F.col("home")).alias("home"))
+    outer = F.struct(F.lit(1).alias("ring"), F.col("home").alias("home"))
+    at = F.when(near, F.array(inner)).when(F.col("low") <= 2 * EPS + 1e-9, F.array(inner, outer)).otherwise(F.array(outer))
+    placed = met.select("region", "sid", "n", "rest", "core", F.explode(at).alias("at"))
     return placed.select(F.xxhash64("region", "at.ring").alias("region"), "sid", "n", "rest", "core", "at.home")
 
 
+def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) with low, a bound below their distance from the sketches alone.
+
+    Counts by class differ by no more than the sets do, and sets that differ in s shingles are
+    2s / (sum of sizes + s) apart. The bound is as good as it is for sets of up to a few thousand shingles.
+    """
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    sketches = known.select("sid", "n", "sketch").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CORNERS) for c in ("sa", "sb"))
+            apart = np.abs(sa.astype(np.int16) - sb).sum(axis=1, dtype=np.int64)
+            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+            low = 2.0 * apart / np.maximum(total + apart, 1)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low)], names=["a", "b", "low"])
+
+    return pairs.join(one, "a").join(two, "b").mapInArrow(scan, "a binary, b binary, low double")
+
+
+def _texts_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, stages: Stages) -> DataFrame:
+    """sid and text of the wanted sets, from the row of smallest id that has the set.
+
+    The rows to read are written first, so that Spark knows whether they are few enough to leave the texts in place.
+    """
+    chosen = known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "body")).alias("row"))
+    chosen = chosen.join(wanted, "sid", "left_semi").select("sid", F.col("row.doc_id").alias("_id"), F.col("row.body").alias("_body"))
+    chosen = stages.write("chosen", chosen)
+    named = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
+    same = named["doc_id"].eqNullSafe(chosen["_id"]) & (named["body"] == chosen["_body"])
+    return named.join(chosen, same).select("sid", "text").dropDuplicates(["sid"])
+
+
 def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id of the class), size (rows in the class), for each row of ``docs``.
 
@@ -287,53 +375,36 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
     order = frequency_classes(scanned.filter("bucket IS NOT NULL"))
     cells = stages.write("cells", shared_cells(postings(docs, order, k)).distinct())
 
-    wanted = cells.select("sid").distinct()
-    chosen = known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "body")).alias("row"))
-    chosen = chosen.join(wanted, "sid", "left_semi").select("sid", F.col("row.doc_id").alias("_id"), F.col("row.body").alias("body"))
-    named = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
-    texts = named.join(chosen, named["doc_id"].eqNullSafe(chosen["_id"]) & (named["body"] == chosen["body"])).select("sid", "text")
-    texts = stages.write("cell-texts", texts)
-    texts = stages.write("cell-texts-once", texts.dropDuplicates(["sid"]))
-    stages.drop("cell-texts")
-
-    members = cells.select(F.col("cell").alias("region"), "sid", "n", "rest", "core", F.lit(True).alias("home"))
-    members = members.withColumn("label", F.col("sid"))
-    links, labels = None, None
-    for number in range(rounds):
-        open_ = stages.write(f"open-{number}", _unfinished(members))
-        if open_.isEmpty():
-            members = None
-            break
-        pivots = members.filter("home").groupBy("region").agg(F.min("sid").alias("pivot")).join(open_, "region")
-        pivots = stages.write(f"pivots-{number}", pivots)
-        members = stages.write(f"members-{number}", members.join(pivots, "region").drop("label"))
-        pairs = members.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
-        counted = stages.write(f"overlaps-{number}", overlaps(stages.write(f"pairs-{number}", pairs), texts, k))
+    members = size_bands(cells).withColumn("label", F.col("sid"))
+    links = labels = None
+    for number in range(rounds + 1):
+        able = stages.write(f"able-{number}", _open_members(members, stages.write(f"open-{number}", _unfinished(members))))
+        regions = stages.write(f"mixed-{number}", _unfinished(able).select("region", "members"))
+        small = F.lit(True) if number == rounds else F.col("members") <= LEAF
+        pairs = _leaf_pairs(able.join(regions.filter(small), "region", "left_semi"))
+        pivots = able.filter("home").groupBy("region").agg(F.min("sid").alias("pivot"))
+        pivots = stages.write(f"pivots-{number}", pivots.join(regions.filter(~small), "region", "left_semi"))
+        deeper = not pivots.isEmpty()
+        if deeper:
+            members = stages.write(f"members-{number}", able.join(pivots, "region").drop("label"))
+            pairs = pairs.unionByName(members.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))).distinct()
+        pairs = stages.write(f"pairs-{number}", pairs)
+        bounds = stages.write(f"bounds-{number}", _bounds(pairs, known))
+        near = stages.write(f"near-{number}", bounds.filter(F.col("low") <= EPS + 1e-9).select("a", "b"))
+        texts = stages.write("texts", _texts_of(docs, known, near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), stages))
+        counted = stages.write(f"overlaps-{number}", overlaps(near, texts, k))
         found = counted.filter(_linked()).select("a", "b")
         links = stages.write(f"links-{number}", found if links is None else links.unionByName(found))
         labels = classes_of(links, stages, f"classes-{number}")
-        distance = 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))
-        placed = stages.write(f"rings-{number}", rings(members, counted.select("a", "b", distance.alias("distance"))))
+        if not deeper:
+            break
+        placed = stages.write(f"rings-{number}", rings(members, bounds, found))
         members = _labelled(placed, labels)
-    if members is not None:
-        open_ = stages.write("open-last", _unfinished(members))
-        if not open_.isEmpty():
-            left = stages.write("members-last", members.join(open_, "region", "left_semi"))
-            two = left.select("region", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "rest", "core", "home", "label")])
-            enough = 7 * F.least("rest", "_rest") >= 3 * (F.col("n") + F.col("_n"))
-            pairs = left.join(two, "region").filter((F.col("sid") < F.col("_sid")) & (F.col("label") != F.col("_label")) & enough)
-            pairs = pairs.filter((F.col("core") | F.col("_core")) & (F.col("home") | F.col("_home")))
-            pairs = pairs.select(F.col("sid").alias("a"), F.col("_sid").alias("b")).distinct()
-            counted = overlaps(stages.write("pairs-last", pairs), texts, k)
-            links = stages.write("links-last", links.unionByName(counted.filter(_linked()).select("a", "b")))
-            labels = classes_of(links, stages, "classes-last")
-    stages.drop("cell-texts-once", "cells")
-
-    rows = known.drop("body")
-    if labels is not None:
-        rows = rows.join(labels, "sid", "left")
-    else:
-        rows = rows.withColumn("label", F.lit(None).cast("binary"))
+        stages.drop(f"able-{number}", f"open-{number}", f"members-{number}", f"overlaps-{number}", f"pairs-{number}", f"rings-{number - 1}")
+    stages.drop("texts", "cells")
+
+    rows = known.drop("body", "sketch")
+    rows = rows.join(labels, "sid", "left")
     rows = stages.write("rows", rows.select("doc_id", "n", F.coalesce("label", "sid").alias("class")))
     least = stages.write("least", rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")))
     joined = rows.join(least, "class", "left")
