@@ -32,7 +32,7 @@ SHINGLE = 5
 NEAR, OF = 3, 4  # a link needs NEAR / OF of the union in common
 EPS = 1 - NEAR / OF
 ROUNDS = 3
-CORNERS = 256  # classes of shingles that a sketch counts
+CORNERS, FILL = 256, 12  # fewest classes of shingles that a sketch counts, and most shingles a class has on average
 LEAF = 8  # regions with no more members are compared pair by pair
 BUCKET_BITS = 18  # frequencies are counted by this many bits of a shingle's hash
 HOT = 32  # a bucket this many times fuller than the mean holds a frequent shingle
@@ -86,10 +86,43 @@ def _first_of_each(sizes: np.ndarray, sid: pa.Array) -> np.ndarray:
     return np.fromiter(first.values(), np.int64, len(first))
 
 
+def sketches(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """How many shingles of each set are in each class of their hash, up to 255.
+
+    There are ``CORNERS`` classes, doubled until a class has ``FILL`` shingles at most on average, so that
+    unrelated sets of any size look different.
+    """
+    classes = CORNERS << np.ceil(np.log2(np.maximum(sizes / (CORNERS * FILL), 1))).astype(np.int64)
+    out = [b""] * len(sizes)
+    for n in np.unique(classes):
+        rows = np.flatnonzero(classes == n)
+        place = np.full(len(sizes), -1)
+        place[rows] = np.arange(len(rows))
+        own = place[row] >= 0
+        counts = np.bincount(place[row[own]] * n + (value[own] % U(n)).astype(np.int64), minlength=len(rows) * n)
+        for i, line in zip(rows, np.minimum(counts, 255).astype(np.uint8).reshape(len(rows), n), strict=True):
+            out[i] = line.tobytes()
+    return out
+
+
+def least_difference(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """By how many shingles two sets differ at least, from their sketches; 0 where a count was cut off."""
+    out = np.zeros(len(one), dtype=np.int64)
+    kinds = np.array([(len(a), len(b)) for a, b in zip(one, two, strict=True)]).reshape(-1, 2)
+    for la, lb in np.unique(kinds, axis=0):
+        at = np.flatnonzero((kinds == (la, lb)).all(axis=1))
+        n = min(la, lb)
+        a, b = (np.frombuffer(b"".join(x[i] for i in at), np.uint8).reshape(len(at), -1) for x in (one, two))
+        whole = (a.max(axis=1) < 255) & (b.max(axis=1) < 255)
+        a, b = (x.reshape(len(at), -1, n).sum(axis=1, dtype=np.int32) for x in (a, b))
+        out[at] = np.where(whole, np.abs(a - b).sum(axis=1), 0)
+    return out
+
+
 def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, body, n, sid, sketch for each row; and bucket, times: how often shingles of a bucket were seen.
 
-    A sketch counts a set's shingles in ``CORNERS`` classes of their hash, up to 255. Equal sets of a chunk are counted once. Each task adds its counts up before it hands them on.
+    Equal sets of a chunk are counted once. Each task adds its counts up before it hands them on.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "body", "n", "sid", "sketch", "bucket", "times"]
@@ -103,9 +136,7 @@ def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             chosen = np.zeros(m, dtype=bool)
             chosen[_first_of_each(sizes, sid)] = True
             seen += np.bincount(_bucket(value[chosen[row]]), minlength=len(seen))
-            corners = np.bincount(row * CORNERS + (value % U(CORNERS)).astype(np.int64), minlength=m * CORNERS)
-            counts = pa.py_buffer(np.minimum(corners, 255).astype(np.uint8).tobytes())
-            sketch = pa.FixedSizeBinaryArray.from_buffers(pa.binary(CORNERS), m, [None, counts]).cast(pa.binary())
+            sketch = pa.array(sketches(row, value, sizes), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("body"), pa.array(sizes), sid, sketch, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names
             )
@@ -329,7 +360,7 @@ def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) with low, a bound below their distance from the sketches alone.
 
     Counts by class differ by no more than the sets do, and sets that differ in s shingles are
-    2s / (sum of sizes + s) apart. The bound is as good as it is for sets of up to a few thousand shingles.
+    2s / (sum of sizes + s) apart.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     sketches = known.select("sid", "n", "sketch").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
@@ -337,9 +368,8 @@ def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
     two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CORNERS) for c in ("sa", "sb"))
-            apart = np.abs(sa.astype(np.int16) - sb).sum(axis=1, dtype=np.int64)
+        for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
+            apart = least_difference(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())
             total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
             low = 2.0 * apart / np.maximum(total + apart, 1)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(low)], names=["a", "b", "low"])
