@@ -292,23 +292,24 @@ def size_bands(cells: DataFrame) -> DataFrame:
     """Members in regions of a cell and a band of sizes, with the next band as a window.
 
     Linked sets differ in size by no more than 4/3, the width of a band: the ring of a set around the
-    empty set, so to speak.
+    empty set, so to speak. ``away`` has a bit for each step in which a member is in its region as a copy
+    only: 1 here, others in ``rings``. Two members that are away in one step meet elsewhere, others must meet here.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(OF / NEAR)) + 1e-9).cast("int")
-    at = F.explode(F.array(F.struct(band.alias("band"), F.lit(True).alias("home")), F.struct((band - 1).alias("band"), F.lit(False).alias("home"))))
+    at = F.explode(F.array(F.struct(band.alias("band"), F.lit(0).alias("away")), F.struct((band - 1).alias("band"), F.lit(1).alias("away"))))
     placed = cells.select("cell", "sid", "n", "rest", "core", at.alias("at"))
-    return placed.select(F.xxhash64("cell", "at.band").alias("region"), "sid", "n", "rest", "core", "at.home")
+    return placed.select(F.xxhash64("cell", "at.band").alias("region"), "sid", "n", "rest", "core", "at.away")
 
 
 def _unfinished(members: DataFrame) -> DataFrame:
-    """Regions in which several classes meet, with a core and a home member among them; see ``rings``.
+    """Regions in which several classes meet, with a core member, and not all of them away in one step; see ``size_bands``.
 
     ``least`` and ``most`` bound the sizes and the rests of the members.
     """
     regions = members.groupBy("region").agg(
         (F.min("label") != F.max("label")).alias("mixed"),
         F.bool_or("core").alias("cored"),
-        F.bool_or("home").alias("homely"),
+        (F.bit_and("away") == 0).alias("homely"),
         F.min("n").alias("least"),
         F.max("rest").alias("most"),
         F.count(F.lit(1)).alias("members"),
@@ -329,31 +330,31 @@ def _open_members(members: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def _leaf_pairs(members: DataFrame) -> DataFrame:
-    """a, b of members of one region that may link: in different classes, with a core and a home one, and enough to share."""
-    two = members.select("region", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "rest", "core", "home", "label")])
+    """a, b of members of one region that may link: in different classes, with a core one, not away in the same step, and enough to share."""
+    two = members.select("region", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "rest", "core", "away", "label")])
     enough = (NEAR + OF) * F.least("rest", "_rest") >= NEAR * (F.col("n") + F.col("_n"))
-    able = enough & (F.col("core") | F.col("_core")) & (F.col("home") | F.col("_home")) & (F.col("label") != F.col("_label"))
+    able = enough & (F.col("core") | F.col("_core")) & (F.col("away").bitwiseAND(F.col("_away")) == 0) & (F.col("label") != F.col("_label"))
     pairs = members.join(two, "region").filter((F.col("sid") < F.col("_sid")) & able)
     return pairs.select(F.col("sid").alias("a"), F.col("_sid").alias("b")).distinct()
 
 
-def rings(members: DataFrame, bounds: DataFrame, linked: DataFrame) -> DataFrame:
+def rings(members: DataFrame, bounds: DataFrame, linked: DataFrame, step: int) -> DataFrame:
     """Members in the regions around their pivots: those near it, and the others.
 
     A link to a near member (at EPS or less) reaches no farther than twice EPS from the pivot. So others
-    that may be within that window are copied to the near region, to meet its home members. The pivot has
-    met everyone and is left out. ``bounds``: a (member), b (pivot), low (no more than their distance); ``linked``: a, b.
+    that may be within that window are copied to the near region, to meet its near members; as copies they
+    are away in this ``step`` (from 1), besides the steps in which they were before. The pivot has met everyone and is left out. ``bounds``: a (member), b (pivot), low (no more than their distance); ``linked``: a, b.
     """
     met = members.filter("sid <> pivot").join(
         bounds.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "low"), ["sid", "pivot"]
     )
     met = met.join(linked.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), F.lit(True).alias("near")), ["sid", "pivot"], "left")
     near = F.coalesce("near", F.lit(False))
-    inner = F.struct(F.lit(0).alias("ring"), (near & F.col("home")).alias("home"))
-    outer = F.struct(F.lit(1).alias("ring"), F.col("home").alias("home"))
+    inner = F.struct(F.lit(0).alias("ring"), F.when(near, F.col("away")).otherwise(F.col("away").bitwiseOR(F.lit(1 << step))).alias("away"))
+    outer = F.struct(F.lit(1).alias("ring"), F.col("away").alias("away"))
     at = F.when(near, F.array(inner)).when(F.col("low") <= 2 * EPS + 1e-9, F.array(inner, outer)).otherwise(F.array(outer))
     placed = met.select("region", "sid", "n", "rest", "core", F.explode(at).alias("at"))
-    return placed.select(F.xxhash64("region", "at.ring").alias("region"), "sid", "n", "rest", "core", "at.home")
+    return placed.select(F.xxhash64("region", "at.ring").alias("region"), "sid", "n", "rest", "core", "at.away")
 
 
 def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -412,7 +413,7 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
         regions = stages.write(f"mixed-{number}", _unfinished(able).select("region", "members"))
         small = F.lit(True) if number == rounds else F.col("members") <= LEAF
         pairs = _leaf_pairs(able.join(regions.filter(small), "region", "left_semi"))
-        pivots = able.filter("home").groupBy("region").agg(F.min("sid").alias("pivot"))
+        pivots = able.groupBy("region").agg(F.min(F.struct(F.bit_count("away"), "sid")).getField("sid").alias("pivot"))
         pivots = stages.write(f"pivots-{number}", pivots.join(regions.filter(~small), "region", "left_semi"))
         deeper = not pivots.isEmpty()
         if deeper:
@@ -428,7 +429,7 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
         labels = classes_of(links, stages, f"classes-{number}")
         if not deeper:
             break
-        placed = stages.write(f"rings-{number}", rings(members, bounds, found))
+        placed = stages.write(f"rings-{number}", rings(members, bounds, found, number + 1))
         members = _labelled(placed, labels)
         stages.drop(f"able-{number}", f"open-{number}", f"members-{number}", f"overlaps-{number}", f"pairs-{number}", f"rings-{number - 1}")
     stages.drop("texts", "cells")

@@ -55,6 +55,20 @@ def test_classes_with_the_last_comparison_only(make, prose, words):
     assert got == brute.classes(list(enumerate(texts)))
 
 
+def test_a_hub_keeps_its_variants_across_a_border_of_sizes(make, prose):
+    """101 and 99 shingles are in neighbouring bands; variants link to the original only, not to each other."""
+    hub, rng = prose(41, 105).split(), random.Random(9)
+    texts = [" ".join(hub)]
+    for i in range(30):
+        own, at = list(hub[:103]), rng.randrange(5, 45)
+        own[at], own[at + rng.randrange(8, 50)] = f"x{i}", f"y{i}"
+        texts.append(" ".join(own))
+    want = brute.classes(list(enumerate(texts)))
+    assert {c for _, c in want.values()} == {0} and {n for n, _ in want.values()} == {99, 101}
+    for rounds in (0, jaccard.ROUNDS):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link_classes(make(texts), rounds=rounds).collect()} == want
+
+
 def test_classes_of_odd_rows(odd, empty):
     rows = jaccard.link_classes(odd).collect()
     assert len(rows) == odd.count()
