@@ -37,7 +37,7 @@ TOKEN = "|".join(
         r"(?<![A-Za-z0-9_#./:@-])(?=[A-Za-z_#./:@-]*+[0-9])[A-Za-z0-9](?:[A-Za-z0-9_#/:@-]|\.(?=[A-Za-z0-9]))*+",
     ]
 )
-_PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _ADDRESS = rf"^{_PART}\.{_PART}\.{_PART}\.{_PART}$"
 SIDE = 64  # code points on either side in which the words of a context are looked for
 ROUNDS = 2

@@ -61,6 +61,16 @@ def test_base_spans_equal_brute_force(make):
         assert set(map(tuple, rows[i].base)) <= set(map(tuple, rows[i].spans))
 
 
+def test_addresses_with_parts_of_zero(make):
+    texts = ["10.0.0.1 0.0.0.0 and 1.2.3.000", "127.0.0.1, 192.168.0.1, 8.8.8.8", "00.00.00.00256 0.0.0.256 1.0.0", "0" * 4000 + ".0.0.0"]
+    rows = {r.doc_id: r for r in pii.find_personal_data(make(texts)).collect()}
+    assert [sum(s.kind == "ip" for s in rows[i].base) for i in range(4)] == [3, 3, 0, 1]
+    for i, text in enumerate(texts):
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in rows[i].base] == brute.personal_data(text)
+    cleaned = pii.find_personal_data(make(texts), keep=("doc_id", "text")).select("doc_id", pii.redact(F.col("text"), F.col("spans")).alias("t"))
+    assert {r.doc_id: r.t for r in cleaned.collect()}[1] == "[IP], [IP], [IP]"
+
+
 def test_contexts_discover_what_the_patterns_miss(make, prose):
     rng = random.Random(1)
     texts = [f"{prose(i, 20)} call me at +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} today {prose(i + 50, 9)}" for i in range(12)]
