@@ -1,10 +1,12 @@
 """Benchmark decontamination by templates, so that re-parameterised questions are caught, too.
 
 Numbers, names and units become typed placeholders. Windows of the resulting tokens are joined by hash
-between documents and benchmark items. Where windows of an item meet a document on one diagonal, the
-values behind the placeholders must map one to one: "Ann has 3 apples, Ann eats 2" may have become
-"Bob has 7 pears ..." only with Bob in both places. An item whose windows are covered to a large enough
-part is reported.
+between documents and benchmark items, in three forms, so that neither the place of a name in its sentence
+nor letter case matters: names as placeholders, every capitalised word as one, and all words as they are in
+small letters. Where a window meets, the item is laid over the document on that diagonal and compared token
+by token: words must be equal, values behind placeholders may differ but must map consistently: "Ann has
+3 apples, Ann eats 2" may have become "Bob has 7 pears ..." only with Bob in both places. A window that
+contradicts does not count. An item whose windows are covered to a large enough part is reported.
 
 Everything is DataFrame operations.
 """
@@ -19,7 +21,7 @@ from shapewright.llm.common import Stages, table
 WINDOW = 8
 MIN_LITERALS = 4  # tokens of a window that are words, not placeholders
 MIN_COVER = 0.5  # share of an item's windows that must be met
-NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
+NAME, NUMBER, UNIT, FIRST = "\ue001", "\ue002", "\ue003", "\ue004"
 #: fixed values: words that are units after a number
 UNITS = (
     "mm|cm|m|km|inch|inches|foot|feet|yards?|miles?|mg|g|kg|tons?|tonnes?|ounces?|pounds?|lbs?|ml|l|liters?|litres?|gallons?|"
@@ -27,50 +29,90 @@ UNITS = (
 )
 
 
-def template_tokens(text: Column, values: bool = False) -> Column:
-    """The tokens of a text with placeholders, each followed by its value if ``values``; both ways as many tokens.
+def template_tokens(text: Column) -> Column:
+    """The tokens of a text in small letters; those that may vary have their kind before their value.
 
-    A name is a capitalised word after a small letter, comma, semicolon or colon and a space. A unit is a
-    listed word right after a number. Case and punctuation are dropped. A text without tokens gives an empty array.
+    A name is a capitalised word after a small letter, comma, semicolon or colon and a space. Any other
+    capitalised word has the kind ``FIRST``: it may be a name or begin a sentence. A unit is a listed word
+    right after a number. Punctuation is dropped. A text without tokens gives an empty array.
     """
-    kept = "$1" if values else ""
     text = F.coalesce(text, F.lit(""))
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},;:]\s)(\p{Lu}[\p{L}\p{M}]++)", f"{NAME}{kept}")
-    text = F.regexp_replace(text, r"([0-9]++(?:[.,][0-9]++)*+)", f" {NUMBER}{kept} ")
+    text = F.regexp_replace(text, r"(?<=[\p{Ll},;:]\s)(\p{Lu}[\p{L}\p{M}]++)", f"{NAME}$1")
+    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}{NAME}])(\p{{Lu}}[\p{{L}}\p{{M}}]*+)", f"{FIRST}$1")
+    text = F.regexp_replace(text, r"([0-9]++(?:[.,][0-9]++)*+)", f" {NUMBER}$1 ")
     text = F.lower(text)
-    placeholders = f"{NAME}{NUMBER}{UNIT}"
-    if values:  # marks inside a number are part of its value
-        between = rf"(?:[^\p{{L}}\p{{M}}0-9.,{placeholders}]|(?<![0-9])[.,]|[.,](?![0-9]))++"
-    else:
-        between = rf"[^\p{{L}}\p{{M}}{placeholders}]++"
+    # marks inside a number are part of its value
+    between = rf"(?:[^\p{{L}}\p{{M}}0-9.,{NAME}{NUMBER}{UNIT}{FIRST}]|(?<![0-9])[.,]|[.,](?![0-9]))++"
     text = F.trim(F.regexp_replace(text, between, " "))
-    text = F.regexp_replace(text, rf"({NUMBER}[0-9.,]*+ )({UNITS})(?= |$)", f"$1{UNIT}{'$2' if values else ''}")
+    text = F.regexp_replace(text, rf"({NUMBER}[0-9.,]*+ )({UNITS})(?= |$)", f"$1{UNIT}$2")
     return F.array_remove(F.split(text, " "), "")
 
 
-def _window_hashes(tokens: str, size: int) -> Column:
+def _kind(token: Column) -> Column:
+    return F.left(token, F.lit(1))
+
+
+def _plain(token: Column) -> Column:
+    return F.ltrim(token, F.lit(NAME + NUMBER + UNIT + FIRST))
+
+
+def _forms(tokens: Column) -> dict[str, Column]:
+    """Hashes of the tokens in the three forms that windows are joined in, and with all values."""
+    plain = lambda t: F.xxhash64(_plain(t))
+    kind = lambda t: F.xxhash64(_kind(t))
+    return {
+        "names": F.transform(tokens, lambda t: F.when(_kind(t).isin(NAME, NUMBER, UNIT), kind(t)).otherwise(plain(t))),
+        "capitals": F.transform(tokens, lambda t: F.when(_kind(t).isin(NAME, FIRST), F.xxhash64(F.lit(NAME))).when(_kind(t).isin(NUMBER, UNIT), kind(t)).otherwise(plain(t))),
+        "words": F.transform(tokens, lambda t: F.when(_kind(t).isin(NUMBER, UNIT), kind(t)).otherwise(plain(t))),
+        "values": F.transform(tokens, plain),
+    }
+
+
+def _with_forms(rows: DataFrame) -> DataFrame:
+    forms = _forms(F.col("tokens"))
+    return rows.withColumns({f"_{name}": form for name, form in forms.items()})
+
+
+def _window_hashes(hashes: str, size: int) -> Column:
     """A hash of each window of ``size`` tokens, by start from 0; no windows in a shorter text.
 
-    ``tokens`` is a column of the input: an expression would be worked out again for each window.
+    ``hashes`` is a column of the input: an expression would be worked out again for each window.
+    """
+    starts = F.sequence(F.lit(1), F.size(hashes) - (size - 1))
+    none = F.array().cast("array<bigint>")
+    return F.when(F.size(hashes) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(size))))).otherwise(none)
+
+
+def _words(tokens: Column) -> Column:
+    """How many of the tokens are words, not placeholders."""
+    return F.size(F.filter(tokens, lambda t: ~_kind(t).isin(NAME, NUMBER, UNIT)))
+
+
+def item_texts(items: DataFrame, size: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
+    """item_id, variant, tokens, width, exact and places (starts of windows of that width that count), for each text of an item.
+
+    Where no window of ``size`` has enough words, the whole text is the only window, as long as it is; if
+    that has too few words itself, its values must be the same (``exact``).
     """
-    starts = F.sequence(F.lit(1), F.size(tokens) - (size - 1))
-    return F.when(F.size(tokens) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(tokens, i, F.lit(size)))))
+    rows = items.filter("item_id IS NOT NULL").select("item_id", template_tokens(F.col("text")).alias("tokens")).distinct()
+    rows = rows.filter(F.size("tokens") > 0).withColumn("variant", F.xxhash64("tokens"))
+    starts = F.when(F.size("tokens") >= size, F.sequence(F.lit(0), F.size("tokens") - size)).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("places", F.filter(starts, lambda p: _words(F.slice("tokens", p + 1, F.lit(size))) >= min_literals))
+    whole = F.size("places") == 0
+    rows = rows.withColumn("exact", whole & (_words(F.col("tokens")) < min_literals))
+    rows = rows.withColumn("width", F.when(whole, F.size("tokens")).otherwise(F.lit(size)))
+    return rows.withColumn("places", F.when(whole, F.array(F.lit(0))).otherwise(F.col("places")))
 
 
-def item_windows(items: DataFrame, size: int = WINDOW, min_literals: int = MIN_LITERALS) -> DataFrame:
-    """item_id, place, window, total: windows with enough words in them, and how many the item has."""
-    tokens = items.filter("item_id IS NOT NULL").select("item_id", template_tokens(F.col("text")).alias("tokens")).distinct()
-    rows = tokens.select("item_id", "tokens", F.posexplode(_window_hashes("tokens", size)).alias("place", "window"))
-    words = F.filter(F.slice("tokens", F.col("place") + 1, F.lit(size)), lambda t: ~t.isin(NAME, NUMBER, UNIT))
-    rows = rows.filter(F.size(words) >= min_literals).select("item_id", "place", "window")
-    totals = rows.groupBy("item_id").agg(F.countDistinct("place").alias("total"))
-    return rows.join(totals, "item_id")
+def item_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
+    """item_id, variant, place, length and window: what is looked for in documents. Of a long exact text its first ``size`` values are."""
+    rows = _with_forms(texts).withColumn("length", F.least("width", F.lit(size)))
 
+    def at(form: str) -> Column:
+        return F.transform("places", lambda p: F.struct(p.alias("place"), F.xxhash64(F.slice(F.col(form), p + 1, F.col("length"))).alias("window")))
 
-def _slots(tokens: Column) -> Column:
-    """(at, value) of the placeholders among tokens with values."""
-    numbered = F.transform(tokens, lambda t, i: F.struct(i.alias("at"), t.alias("value")))
-    return F.filter(numbered, lambda s: F.left(s["value"], F.lit(1)).isin(NAME, NUMBER, UNIT))
+    found = F.when(F.col("exact"), at("_values")).otherwise(F.concat(at("_names"), at("_capitals"), at("_words")))
+    return rows.select("item_id", "variant", "length", "exact", F.explode(found).alias("at")).select("item_id", "variant", "length", "exact", "at.*").distinct()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -82,56 +124,118 @@ def _same_row(a: DataFrame, b: DataFrame) -> Column:
     return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["body"] == b["body"])
 
 
+def _laid_over(pairs: DataFrame, stages: Stages) -> DataFrame:
+    """``pairs`` (tokens and places of an item, theirs: tokens of a document, diagonal) with met: the places of the item that the document has there.
+
+    A number stands for a number, a unit for a unit, a name for any word; another capitalised word for a
+    capitalised one, or for any word if it is a name elsewhere in the item. Names must map one to one: of
+    contradicting pairs the most frequent counts, in a tie the one that is the same name, then the first.
+    Numbers and units must map to one value within a window; several may have become equal.
+    """
+    word = lambda t: t.isNotNull() & ~_kind(t).isin(NUMBER, UNIT)
+
+    def cell(token: Column, i: Column) -> Column:
+        their = F.get("theirs", (i + F.col("diagonal")).cast("int"))
+        kind, same = _kind(token), _plain(token) == F.coalesce(_plain(their), F.lit(""))
+        named = F.array_contains("tokens", F.concat(F.lit(NAME), _plain(token)))
+        fits = (
+            F.when(kind.isin(NUMBER, UNIT), _kind(their) == kind)
+            .when(kind == NAME, word(their))
+            .when(kind == FIRST, word(their) & (same | _kind(their).isin(NAME, FIRST) | named))
+            .otherwise(word(their) & same)
+        )
+        return F.struct(
+            i.alias("at"), kind.isin(NAME, FIRST).alias("name"), kind.isin(NUMBER, UNIT).alias("value"), _plain(token).alias("one"), _plain(their).alias("two"),
+            same.alias("same"), (F.coalesce(fits, F.lit(False)) & (~F.col("exact") | same)).alias("fits"), (~kind.isin(NAME, NUMBER, UNIT) & same).alias("word"),
+        )
+
+    def window(p: Column) -> Column:
+        return F.slice("cells", p + 1, F.col("width"))
+
+    # written, and no filters from here on: Spark would work the cells out again for each use
+    cells = F.transform("tokens", cell).alias("cells")
+    pairs = stages.write("item-cells", pairs.select("doc_id", "body", "item_id", "variant", "total", "start", "places", "width", "exact", "literals", cells))
+    pairs = pairs.withColumn("places", F.filter("places", lambda p: F.forall(window(p), lambda c: c["fits"])))
+    names = F.filter(
+        "cells", lambda c: c["name"] & F.exists("places", lambda p: (p <= c["at"]) & (c["at"] < p + F.col("width")))
+    )
+    pairs = pairs.withColumn("names", F.transform(names, lambda c: F.struct(c["one"].alias("one"), c["two"].alias("two"))))
+    weighed = F.transform(
+        F.array_distinct("names"),
+        lambda n, i: F.struct(
+            n["one"].alias("one"), n["two"].alias("two"), F.struct(F.size(F.filter("names", lambda m: m == n)), n["one"] == n["two"], -i).alias("weight")
+        ),
+    )
+    pairs = pairs.withColumn("weighed", weighed)
+    rivals = lambda a, b: ((a["one"] == b["one"]) != (a["two"] == b["two"])) & (a["weight"] < b["weight"])
+    wrong = F.filter("weighed", lambda a: F.exists("weighed", lambda b: rivals(a, b)))
+    pairs = pairs.withColumn("wrong", F.transform(wrong, lambda a: F.struct(a["one"].alias("one"), a["two"].alias("two"))))
+
+    def counts(p: Column) -> Column:
+        cells = window(p)
+        values = F.transform(F.filter(cells, lambda c: c["value"]), lambda c: F.struct(c["one"].alias("one"), c["two"].alias("two")))
+        one_each = F.size(F.array_distinct(F.transform(values, lambda v: v["one"]))) == F.size(F.array_distinct(values))
+        right = (F.size("wrong") == 0) | ~F.exists(cells, lambda c: c["name"] & F.array_contains("wrong", F.struct(c["one"].alias("one"), c["two"].alias("two"))))
+        enough = F.col("exact") | (F.size(F.filter(cells, lambda c: c["word"])) >= F.col("literals"))
+        return one_each & right & enough
+
+    return pairs.withColumn("met", F.filter("places", counts))
+
+
 def contaminated(
     docs: DataFrame, items: DataFrame, size: int = WINDOW, min_literals: int = MIN_LITERALS, min_cover: float = MIN_COVER
 ) -> DataFrame:
     """doc_id, body, item_id, windows, total, cover, first_token: one row for each document and item found in it.
 
-    ``windows`` counts the distinct windows of the item that meet the document on diagonals with
-    consistent slots; ``cover`` is their share of ``total``. Items with fewer than ``size`` tokens, or
-    without ids, are not searched for. Documents without text are never found; those without id are, under
-    null. A row repeated exactly is reported once. Extra columns of either table are ignored.
+    ``windows`` counts the distinct windows of the item that the document has, see ``_laid_over``;
+    ``cover`` is their share of ``total``. Items in which no window has enough words (short ones, lists of
+    numbers) are one window as a whole; with too few words in all, only with the same values. One without
+    any word is found only where no further number stands beside it, as part of a longer list it is not
+    that item. Items without tokens or ids are not searched for. If an id has several texts, the one covered
+    best is reported. Documents without text are never found; those without id are, under null. A row
+    repeated exactly is reported once. Extra columns of either table are ignored.
 
     Windows of documents meet those of items in a join that Spark turns into a broadcast only if it
     measures the items as small; otherwise both are shuffled and hot windows are split at run time.
     """
     stages = Stages(docs.sparkSession)
-    windows = stages.write("item-windows", item_windows(items, size, min_literals).coalesce(1))
+    searched = stages.write("item-texts", item_texts(items, size, min_literals).coalesce(1))
+    windows = stages.write("item-windows", item_windows(searched, size).coalesce(1))
+    lengths = {(r.length, r.exact) for r in windows.select("length", "exact").distinct().collect()}  # no more than 2 * size
     own = keyed(docs)
-    rolled = own.select("doc_id", "body", template_tokens(F.col("text")).alias("tokens"))
-    rolled = rolled.select("doc_id", "body", F.posexplode(_window_hashes("tokens", size)).alias("pos", "window"))
-    hits = rolled.join(windows, "window").select("doc_id", "body", "item_id", "total", "place", (F.col("pos") - F.col("place")).alias("diagonal"))
-    met = hits.groupBy("doc_id", "body", "item_id", "total", "diagonal").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    rolled = _with_forms(own.select("doc_id", "body", template_tokens(F.col("text")).alias("tokens")))
+    looked = [
+        F.struct(F.lit(length).alias("length"), F.lit(exact).alias("exact"), _window_hashes(form, length).alias("found"))
+        for length, exact in sorted(lengths)
+        for form in (["_values"] if exact else ["_names", "_capitals", "_words"])
+    ]
+    none = F.array().cast("array<struct<length:int,exact:boolean,found:array<bigint>>>")
+    rolled = rolled.select("doc_id", "body", F.explode(F.array(*looked) if looked else none).alias("form"))
+    rolled = rolled.select("doc_id", "body", "form.length", "form.exact", F.posexplode("form.found").alias("pos", "window"))
+    hits = rolled.join(windows, ["window", "length", "exact"])
+    met = hits.select("doc_id", "body", "item_id", "variant", (F.col("pos") - F.col("place")).alias("diagonal")).distinct()
     met = stages.write("item-diagonals", met)
-    likely = met.groupBy("doc_id", "body", "item_id", "total").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"))
-    likely = likely.filter(F.col("n") >= F.col("total") * min_cover).select("doc_id", "body", "item_id")
-    likely = stages.write("item-candidates", likely)
 
-    pairs = met.join(likely.select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), F.col("item_id").alias("_i")),
-                     F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b")) & (F.col("item_id") == F.col("_i"))).drop("_d", "_b", "_i")
-    wanted = likely.select("doc_id", "body").distinct()
+    wanted = stages.write("item-candidates", met.select("doc_id", "body").distinct())
     texts = own.join(wanted, _same_row(own, wanted), "left_semi").dropDuplicates(["doc_id", "body"])
-    theirs = texts.select("doc_id", "body", template_tokens(F.col("text"), True).alias("tokens"))
-    theirs = theirs.select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), _slots(F.col("tokens")).alias("theirs"))
-    ours = items.select("item_id", template_tokens(F.col("text"), True).alias("tokens")).groupBy("item_id").agg(F.max("tokens").alias("tokens"))
-    ours = ours.select(F.col("item_id").alias("_i"), _slots(F.col("tokens")).alias("ours"))
-    pairs = pairs.join(theirs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b"))).join(ours, F.col("item_id") == F.col("_i"))
-
-    inside = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + size - 1))))
-    slots = F.filter("ours", lambda s: F.array_contains("inside", s["at"]))
-    values = F.map_from_entries(F.filter("theirs", lambda s: F.array_contains("inside", (s["at"] - F.col("diagonal")).cast("int"))))
-    mapped = F.transform("slots", lambda s: F.struct(s["value"].alias("one"), F.try_element_at("values", (s["at"] + F.col("diagonal")).cast("int")).alias("two")))
-    kinds = F.size(F.array_distinct("mapped"))
-    consistent = (F.size(F.array_distinct("mapped.one")) == kinds) & (F.size(F.array_distinct("mapped.two")) == kinds)
-    pairs = pairs.withColumn("inside", inside)
-    pairs = pairs.withColumn("slots", slots).withColumn("values", values)
-    good = pairs.withColumn("mapped", mapped).filter(consistent)
-    found = good.groupBy("doc_id", "body", "item_id", "total").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("windows"),
-        F.min(F.element_at("places", 1) + F.col("diagonal")).alias("first_token"),
+    theirs = texts.select(F.col("doc_id").alias("_d"), F.col("body").alias("_b"), template_tokens(F.col("text")).alias("theirs"))
+    pairs = met.join(theirs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("body") == F.col("_b"))).join(searched, ["item_id", "variant"])
+    # only what the item is laid over, with a token on either side
+    before = F.greatest(F.col("diagonal") - 1, F.lit(0))
+    part = F.slice("theirs", before + 1, F.size("tokens") + 2)
+    pairs = pairs.withColumn("theirs", part).withColumn("start", F.col("diagonal")).withColumn("diagonal", F.col("diagonal") - before)
+    pairs = pairs.withColumn("literals", F.lit(min_literals)).withColumn("total", F.size("places"))
+    beside = [F.get("theirs", (F.col("diagonal") + at).cast("int")) for at in (F.lit(-1), F.size("tokens"))]
+    listed = F.forall("tokens", lambda t: _kind(t) == NUMBER)
+    pairs = pairs.filter(~listed | ~F.coalesce(_kind(beside[0]) == NUMBER, F.lit(False)) & ~F.coalesce(_kind(beside[1]) == NUMBER, F.lit(False)))
+    good = _laid_over(pairs, stages)
+    found = good.groupBy("doc_id", "body", "item_id", "variant", "total").agg(
+        F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("windows"),
+        F.min(F.try_element_at("met", F.lit(1)) + F.col("start")).alias("first_token"),
     )
-    found = found.withColumn("cover", F.col("windows") / F.col("total")).filter(F.col("cover") >= min_cover)
-    return found.select("doc_id", "body", "item_id", "windows", "total", "cover", "first_token")
+    found = found.withColumn("cover", F.col("windows") / F.col("total")).filter((F.col("windows") > 0) & (F.col("cover") >= min_cover))
+    best = F.max_by(F.struct("windows", "total", "cover", "first_token"), F.struct("cover", "windows", "variant")).alias("best")
+    return found.groupBy("doc_id", "body", "item_id").agg(best).select("doc_id", "body", "item_id", "best.*")
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -114,6 +114,22 @@ def test_changed_numbers_names_and_units_are_found(make, spark, prose):
     assert all(r.cover > 0.9 for r in found)  # after prose "We" passes for a name
 
 
+STORY = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May. How many clips did Natalia sell to her friends in all?"
+SPRING = "In the spring of that year the old farmer, Ann, walked down to the river with Carl, and there they met Tom, who gave them bread."
+
+
+def found_in(make, spark, texts, *items):
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r.cover for r in decontamination.contaminated(make(texts), table).collect()}
+
+
+def test_items_are_found_in_any_case_and_with_names_anywhere(make, spark, prose):
+    renamed = STORY.replace("Natalia", "Weng").replace("48", "72")
+    texts = [prose(4, 30).upper() + " " + SPRING.upper(), SPRING.lower(), STORY.upper(), renamed, prose(5, 30) + ". " + renamed, prose(6, 90).upper()]
+    cover = found_in(make, spark, texts, SPRING, STORY)
+    assert cover == {(0, 0): 1.0, (1, 0): 1.0, (2, 1): 1.0, (3, 1): 1.0, (4, 1): 1.0}
+
+
 def test_decontamination_of_odd_rows(odd, empty, spark):
     items = spark.createDataFrame([(9, odd.filter("doc_id = 5").first().text)], "item_id long, text string")
     assert {r.doc_id for r in decontamination.contaminated(odd, items).collect()} == {5, 6}
