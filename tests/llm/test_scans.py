@@ -130,6 +130,16 @@ def test_items_are_found_in_any_case_and_with_names_anywhere(make, spark, prose)
     assert cover == {(0, 0): 1.0, (1, 0): 1.0, (2, 1): 1.0, (3, 1): 1.0, (4, 1): 1.0}
 
 
+def test_one_contradicting_slot_costs_its_windows_only(make, spark):
+    item = "The first box holds 3 red balls and some old paper, while the second box on the shelf holds 3 green balls and 5 small blue stones from the sea."
+    texts = [item, item.replace("3 green", "9 green"), item.replace("3", "4").replace("5", "4"), item.replace("3 red", "6 red").replace("3 green", "7 green")]
+    cover = found_in(make, spark, texts, item)
+    assert set(cover) == {(i, 0) for i in range(4)} and min(cover.values()) == 1.0
+    near = "Of the 3 red and 3 green balls that lie in the old box, how many are left on the shelf at the end?"
+    cover = found_in(make, spark, [near.replace("3 green", "4 green")], near)
+    assert 0.5 <= cover[0, 0] < 1
+
+
 def test_decontamination_of_odd_rows(odd, empty, spark):
     items = spark.createDataFrame([(9, odd.filter("doc_id = 5").first().text)], "item_id long, text string")
     assert {r.doc_id for r in decontamination.contaminated(odd, items).collect()} == {5, 6}
