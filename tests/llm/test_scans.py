@@ -140,6 +140,13 @@ def test_one_contradicting_slot_costs_its_windows_only(make, spark):
     assert 0.5 <= cover[0, 0] < 1
 
 
+def test_short_items_and_lists_of_numbers_are_found_as_a_whole(make, spark, prose):
+    items = ["What is the capital of Australia?", "12 + 7 = 19", "Compute 3 x 5 - 12 / 4 + 8 - 16 now"]
+    texts = [f"{prose(i, 20)}. {item} {prose(i + 9, 20)}" for i, item in enumerate(items)]
+    texts += ["What is the capital of the country?", "12 + 8 = 19", "Compute 3 x 5 - 12 / 4 + 8 - 17 now", "see 4 12 + 7 = 19"]
+    assert set(found_in(make, spark, texts, *items)) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_decontamination_of_odd_rows(odd, empty, spark):
     items = spark.createDataFrame([(9, odd.filter("doc_id = 5").first().text)], "item_id long, text string")
     assert {r.doc_id for r in decontamination.contaminated(odd, items).collect()} == {5, 6}
