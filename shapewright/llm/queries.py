@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from shapewright.llm import decontamination, fingerprints, jaccard, licenses, mixing, pii, substrings, token_counts, toxicity, urls
+from shapewright.llm import (
+    decontamination,
+    fingerprints,
+    hard_negatives,
+    jaccard,
+    licenses,
+    merkle,
+    mixing,
+    pii,
+    sharding,
+    substrings,
+    token_counts,
+    toxicity,
+    urls,
+)
 
 QUERIES = {
     "op1_decontamination": decontamination.op1_decontamination,
@@ -15,6 +29,9 @@ QUERIES = {
     "op8_jaccard": jaccard.op8_jaccard,
     "op9_substrings": substrings.op9_substrings,
     "op10_mixing": mixing.op10_mixing,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_sharding": sharding.op12_sharding,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
 ORACLES = {
@@ -24,4 +41,6 @@ ORACLES = {
     "op8_jaccard": jaccard.OP8_SQL,
     "op9_substrings": substrings.OP9_SQL,
     "op10_mixing": mixing.OP10_SQL,
+    "op11_merkle": merkle.OP11_SQL,
+    "op13_hard_negatives": hard_negatives.OP13_SQL,
 }
