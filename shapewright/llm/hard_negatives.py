@@ -34,6 +34,7 @@ STEP = 1024  # candidates of a list that are scored at once
 TASKS = 16  # tasks up to which the candidates are one turn
 SHARE = 8  # a turn has this many times the candidates of the one before
 EXACT = 1 << 53  # whole numbers below are exact as double
+BEYOND = (1 << 62) + 1  # above all scores
 
 
 def whole_components(vector: Column, scale: int = 256) -> Column:
@@ -213,19 +214,19 @@ class _Search:
     def best(self, wanted: DataFrame, same: bool, k: int) -> DataFrame:
         """rid, search, place, found_id, score: the first ``k`` of each search.
 
-        ``wanted``: rid, search (from 0), low, high (double). Partners have the anchor's label, or (not ``same``) another.
+        ``wanted``: rid, search (from 0), low, high (long). Partners have the anchor's label, or (not ``same``) another.
         """
         searches = (wanted.agg(F.max("search")).first()[0] or 0) + 1
         found = None
         for turn in range(self.turns):
             rows = self.candidates if self.turns == 1 else self.candidates.filter(F.col("turn") == turn)
             parts = [self._pass(rows, wanted, found, number, searches, same, k) for number in range(self.passes)]
-            parts = [p for p in [found, *parts] if p is not None]
+            parts += [found.drop("place")] if found is not None else []
             if not parts:
                 break
             every = reduce(DataFrame.unionByName, parts)
             place = F.row_number().over(Window.partitionBy("rid", "search").orderBy(F.desc("score"), "found_id"))
-            merged = every.drop("place").withColumn("place", place).filter(F.col("place") <= k)
+            merged = every.withColumn("place", place).filter(F.col("place") <= k)
             name = f"negatives-{'same' if same else 'other'}"
             found = self.stages.write(f"{name}-{turn}", merged)
             self.stages.drop(f"{name}-{turn - 1}", *[f"{name}-part-{n}" for n in range(self.passes)])
@@ -238,11 +239,11 @@ class _Search:
         if found is not None:
             reached = found.filter(F.col("place") == k).select("rid", "search", F.col("score").alias("reached"))
             needs = needs.join(reached, ["rid", "search"], "left")
-            needs = needs.withColumn("low", F.greatest("low", F.col("reached").cast("double"))).drop("reached")
+            needs = needs.withColumn("low", F.greatest("low", "reached")).drop("reached")
         got = held.select("rid", "label", "cell", "vector").orderBy("cell", "rid").toArrow()
         asked = needs.select("rid", "search", "low", "high").toArrow()
         rid = got.column("rid").to_numpy()
-        low, high = np.full((len(rid), searches), np.inf), np.full((len(rid), searches), -np.inf)
+        low, high = np.full((len(rid), searches), BEYOND), np.full((len(rid), searches), -BEYOND)
         by_rid = np.argsort(rid)
         at = by_rid[np.searchsorted(rid, asked.column("rid").to_numpy(), sorter=by_rid)] if len(rid) else np.zeros(0, dtype=int)
         low[at, asked.column("search").to_numpy()] = asked.column("low").to_numpy()
@@ -278,13 +279,13 @@ def mine(vectors: DataFrame, positives: int = 5, negatives: int = 5, low: int =
     stages = Stages(vectors.sparkSession)
     known = F.col("id").isNotNull() & F.col("label").isNotNull() & finite(F.col("vector"))
     search = _Search(vectors.filter(known).select("id", "label", "vector", F.coalesce("anchor", F.lit(False)).alias("anchor")), stages)
-    every = search.anchors.select("rid", F.lit(0).alias("search"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    every = search.anchors.select("rid", F.lit(0).alias("search"), F.lit(-BEYOND).alias("low"), F.lit(BEYOND).alias("high"))
     best = search.best(every, True, positives)
     best = best.select("rid", (F.col("place") - 1).alias("search"), F.col("found_id").alias("positive_id"), F.col("score").alias("positive_score"))
     best = stages.write("negatives-positives", best)
     share = F.col("positive_score").cast("decimal(25,0)")
-    least = F.ceil(share * low / 100).cast("double")
-    most = F.floor(share * high / 100).cast("double")
+    least = F.ceil(share * low / 100).cast("long")
+    most = F.floor(share * high / 100).cast("long")
     ranges = best.select("rid", "search", least.alias("low"), most.alias("high")).filter("low <= high")
     hard = search.best(ranges, False, negatives).withColumnRenamed("found_id", "negative_id").withColumnRenamed("score", "negative_score")
     named = search.anchors.select("rid", F.col("id").alias("anchor_id"))
