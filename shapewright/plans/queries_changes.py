@@ -23,6 +23,7 @@ from shapewright.operators.sets import append_all
 from shapewright.plans.registry import query
 from shapewright.session import new_folder
 from shapewright.sources.blobs import path_projection, read_blobs, write_blobs
+from shapewright.sources.keyed import KeyedTable
 from shapewright.sources.tables import materialise
 
 ORDER_COLUMNS = ["o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
@@ -190,17 +191,26 @@ def event_feed(events):
     return events.select(op.alias("op"), (F.col("value") > 10).alias("watched"), "user_id", "value")
 
 
-@query(
-    f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN b.o_orderstatus ELSE a.o_orderstatus END AS o_orderstatus,
+UPSERTED = f"""SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN a.o_orderkey IS NULL THEN b.o_orderstatus ELSE a.o_orderstatus END AS o_orderstatus,
     CASE WHEN a.o_orderkey IS NULL THEN b.o_totalprice ELSE a.o_totalprice END AS o_totalprice,
     CASE WHEN a.o_orderkey IS NULL THEN b.o_orderdate ELSE a.o_orderdate END AS o_orderdate
-    FROM orders b FULL JOIN {EDITED} a ON a.o_orderkey = b.o_orderkey""",
-    "upsert",
-)
+    FROM orders b FULL JOIN {EDITED} a ON a.o_orderkey = b.o_orderkey"""
+
+
+@query(UPSERTED, "upsert")
 def upsert_orders(t):
     return upsert(t.orders.select(*ORDER_COLUMNS), edited_orders(t), "o_orderkey")
 
 
+@query(UPSERTED, "upsert_table")
+def merge_orders(t):
+    """The same as a change of a keyed table, which rewrites only the files that hold edited keys."""
+    table = KeyedTable(t.spark, new_folder(t.spark, "orders-table"))
+    table.create(t.orders.select(*ORDER_COLUMNS), "o_orderkey", buckets=8, rows_per_file=50_000)
+    table.merge(edited_orders(t))
+    return table.read()
+
+
 @query(
     """SELECT c_custkey, CASE WHEN u.user_id IS NULL THEN c_name ELSE event_type END AS c_name, CASE WHEN u.user_id IS NULL THEN c_acctbal ELSE value END AS c_acctbal
     FROM customer LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events

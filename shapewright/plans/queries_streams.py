@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from shapewright.plans.queries_changes import event_feed
 from shapewright.plans.registry import query
 from shapewright.session import new_folder
-from shapewright.streaming.streams import history_stream, latest_per_key_stream, read_latest, usage_stream
+from shapewright.sources.keyed import KeyedTable
+from shapewright.streaming.streams import history_stream, latest_per_key_stream, read_latest, upsert_stream, usage_stream
 
 
 def event_stream(t):
@@ -27,11 +28,11 @@ def stream_history(t):
     return t.spark.read.parquet(out)
 
 
-@query(
-    """SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
-    WHERE n = 1""",
-    "latest_stream",
-)
+LATEST = """SELECT user_id, event_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
+    WHERE n = 1"""
+
+
+@query(LATEST, "latest_stream")
 def stream_latest(t):
     out, state = new_folder(t.spark, "latest"), new_folder(t.spark, "state")
     rows = event_stream(t).select("user_id", "event_id", "event_type", "ts")
@@ -39,6 +40,15 @@ def stream_latest(t):
     return read_latest(t.spark.read.parquet(out), "user_id")
 
 
+@query(LATEST, "latest_upsert_stream")
+def stream_upserts(t):
+    """The same table kept by merges, without state in the stream."""
+    folder, state = new_folder(t.spark, "latest-table"), new_folder(t.spark, "state")
+    rows = event_stream(t).select("user_id", "event_id", "event_type", "ts")
+    upsert_stream(rows, "user_id", ["ts", "event_id"], folder, state, buckets=8).awaitTermination()
+    return KeyedTable(t.spark, folder).read()
+
+
 @query(
     """SELECT date_trunc('day', ts) AS period_start, event_type, count(*) AS uses, CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS total FROM events
     WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""",

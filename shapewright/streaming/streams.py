@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -9,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shapewright.functions.temporal import utc_instant, utc_wall_time
 from shapewright.operators.changes import history_from_feed
 from shapewright.operators.ranking import latest_per_key
+from shapewright.sources.keyed import KeyedTable
 
 
 def history_stream(
@@ -58,6 +61,33 @@ def read_latest(updates: DataFrame, key: str) -> DataFrame:
     return latest_per_key(updates, [key], F.col("batch").desc()).drop("batch")
 
 
+def upsert_stream(rows: DataFrame, key: str, order: list[str], folder: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps the latest row of each key in the KeyedTable in ``folder``, which the first batch creates. No state.
+
+    A batch is cut down to one row per key and merged: only files that may hold its keys are rewritten, and a row
+    that is older than the table's, by ``order``, changes nothing. A batch that is repeated after a failure is known by
+    its number and the id of the checkpoint, so it counts once. Rows without key are dropped.
+    """
+    columns = [c for c in rows.columns if c != key]
+    newest = F.max_by(F.struct(*columns), F.struct(*order)).alias("_row")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        query_id = json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()[0])["id"]
+        table = KeyedTable(spark, folder)
+        if table.current() is None:
+            table.create(spark.createDataFrame([], batch.schema), key, buckets)
+        latest = batch.filter(F.col(key).isNotNull()).groupBy(key).agg(newest).select(key, "_row.*").select(*batch.columns)
+        table.merge(latest, newer=order, writer=query_id, batch=batch_id)
+
+    return (
+        rows.writeStream.option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .foreachBatch(write)
+        .start()
+    )
+
+
 def usage_counts(rows: DataFrame, ts: str, key: str, value: Column, late: str = "1 hour", width: str = "1 day"):
     """Rows and value total per day and key; a day closes when the watermark passes its end."""
     timed = rows.withColumn("_ts", utc_instant(F.col(ts))).withWatermark("_ts", late)
