@@ -22,6 +22,9 @@ from shapewright.functions.text import contains_text, slice_by_bytes
 from shapewright.operators.filters import decode, first_match, flagged, only, with_match, within_days
 from shapewright.operators.joins import join_rollups, lookup, waits_with_holder
 from shapewright.operators.ranking import sorted_if, top_rows
+from shapewright.operators.recursion import follow, name_cycles
+from shapewright.operators.sets import append_all
+from shapewright.session import settle
 
 RUN_LABELS = {"D": "Full", "I": "Differential", "L": "Transaction Log"}  # fixed values
 
@@ -236,6 +239,32 @@ def wait_chains(waits: DataFrame, holders: DataFrame, sessions: DataFrame) -> Da
     return chains.join(who, "session_id").join(blocker, "blocking_session_id")
 
 
+def blocking_chains(waits: DataFrame, holders: DataFrame) -> DataFrame:
+    """Each waiting session with the head of its chain: the session at the end, which waits for none.
+
+    session_id, blocking_session_id, head_blocker, depth (sessions between them and the head included), deadlock (the smallest
+    session of the cycle that the chain runs into, else NULL; then there is no head and no depth) and in_deadlock
+    (whether the session is one of the cycle). A session that waits for several is followed by the smallest of them.
+    Waiting for oneself does not count. waits: resource, session_id; holders: resource, blocking_session_id.
+    """
+    pairs = waits_with_holder(waits.select("resource", "session_id"), holders, "resource", keep_free=False)
+    other = F.col("session_id") != F.col("blocking_session_id")
+    waiting = pairs.filter(other).groupBy("session_id").agg(F.min("blocking_session_id").alias("blocking_session_id"))
+    waiting = settle(waiting, "waiting")
+    blockers = waiting.select(F.col("blocking_session_id").alias("session_id")).distinct()
+    free = blockers.join(waiting, "session_id", "left_anti").withColumn("blocking_session_id", F.lit(None).cast("long"))
+    ended, looped = follow(append_all(waiting, free), "session_id", "blocking_session_id")
+    chains = ended.filter("steps > 0").select(
+        F.col("id").alias("session_id"), F.col("last").alias("head_blocker"), F.col("steps").alias("depth"),
+        F.lit(None).cast("long").alias("deadlock"), F.lit(False).alias("in_deadlock"),
+    )
+    locked = name_cycles(looped).select(
+        F.col("id").alias("session_id"), F.lit(None).cast("long").alias("head_blocker"), F.lit(None).cast("long").alias("depth"),
+        F.col("cycle").alias("deadlock"), F.col("on_cycle").alias("in_deadlock"),
+    )
+    return waiting.join(append_all(chains, locked), "session_id")
+
+
 def active_requests(
     sessions: DataFrame, requests: DataFrame, as_of: datetime | str | None = None, sort: bool = False
 ) -> DataFrame:

@@ -12,6 +12,7 @@ from shapewright.plans.access import database_roles, grant_lines, membership_mat
 from shapewright.plans.activity import (
     access_counts,
     active_requests,
+    blocking_chains,
     execution_details,
     execution_errors,
     job_history,
@@ -466,6 +467,14 @@ def customer_lines(t):
     "wait_chains",
 )
 def event_waits(t):
+    waits, holders = waits_and_holders(t)
+    text = fill_template("{name} / {segment}", name=F.col("c_name"), segment=F.col("c_mktsegment"))
+    sessions = t.customer.select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("login"), text.alias("text"))
+    return wait_chains(waits, holders, sessions)
+
+
+def waits_and_holders(t):
+    """Every event waits for what the event before it with the same properties holds."""
     rows = t.events.select("event_id", "user_id", "event_type", "ts", "props")
     # read twice below
     chained = settle(lag_lead(rows, ["props"], ["ts", "event_id"], {"holder": "user_id"}))
@@ -475,9 +484,23 @@ def event_waits(t):
     holders = chained.filter(F.col("holder").isNotNull()).select(
         F.col("event_id").alias("resource"), F.col("holder").alias("blocking_session_id")
     )
-    text = fill_template("{name} / {segment}", name=F.col("c_name"), segment=F.col("c_mktsegment"))
-    sessions = t.customer.select(F.col("c_custkey").alias("session_id"), F.col("c_name").alias("login"), text.alias("text"))
-    return wait_chains(waits, holders, sessions)
+    return waits, holders
+
+
+@query(
+    """WITH RECURSIVE held AS (SELECT user_id AS session_id, lag(user_id) OVER (PARTITION BY props ORDER BY ts, event_id) AS holder FROM events),
+    waiting AS (SELECT session_id, min(holder) AS b FROM held WHERE holder <> session_id GROUP BY 1),
+    walk AS (SELECT session_id, b AS here, [session_id] AS seen FROM waiting UNION ALL
+      SELECT k.session_id, w.b, list_append(k.seen, k.here) FROM walk k JOIN waiting w ON w.session_id = k.here WHERE NOT list_contains(k.seen, k.here)),
+    ends AS (SELECT session_id, here, seen FROM walk QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY len(seen) DESC) = 1)
+    SELECT l.session_id, w.b AS blocking_session_id, CASE WHEN NOT list_contains(seen, here) THEN here END AS head_blocker,
+    CASE WHEN NOT list_contains(seen, here) THEN len(seen) END AS depth,
+    CASE WHEN list_contains(seen, here) THEN list_min(list_slice(seen, list_position(seen, here), len(seen))) END AS deadlock,
+    here = l.session_id AS in_deadlock FROM ends l JOIN waiting w ON w.session_id = l.session_id""",
+    "blocking_chains",
+)
+def event_chains(t):
+    return blocking_chains(*waits_and_holders(t))
 
 
 @query(

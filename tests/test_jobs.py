@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shapewright.functions.text import quote_name
 from shapewright.plans.access import database_roles, grant_lines, membership_matrix, role_grants, server_roles
 from shapewright.plans.activity import (
+    blocking_chains,
     access_counts,
     execution_details,
     execution_errors,
@@ -259,3 +260,36 @@ def test_final_order_on_request(spark):
 
 def test_quote_name_in_headers(spark):
     assert spark.range(1).select(quote_name(F.lit("a]b"))).first()[0] == "[a]]b]"
+
+
+def chains(spark, pairs):
+    waits = spark.createDataFrame([(i, w) for i, (w, _) in enumerate(pairs)], "resource long, session_id long")
+    holders = spark.createDataFrame([(i, h) for i, (_, h) in enumerate(pairs)], "resource long, blocking_session_id long")
+    return {r["session_id"]: tuple(r)[1:] for r in blocking_chains(waits, holders).collect()}
+
+
+def test_blocking_chains_lead_to_the_head(spark):
+    line = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6)]
+    assert chains(spark, line) == {w: (h, 6, 6 - w, None, False) for w, h in line}
+
+
+def test_deadlocks_are_named_by_their_smallest_session(spark):
+    got = chains(spark, [(7, 8), (8, 9), (9, 7), (1, 2), (2, 8), (20, 21), (21, 20), (30, 30)])
+    assert got == {
+        7: (8, None, None, 7, True),
+        8: (9, None, None, 7, True),
+        9: (7, None, None, 7, True),
+        1: (2, None, None, 7, False),
+        2: (8, None, None, 7, False),
+        20: (21, None, None, 20, True),
+        21: (20, None, None, 20, True),
+    }
+    assert chains(spark, [(30, 30)]) == {}
+
+
+def test_a_hub_and_several_holders(spark):
+    """A third of all sessions wait for one; a session that waits for two is followed by the smaller."""
+    pairs = [(100 + i, 1) for i in range(1000)] + [(2000 + i, 2001 + i) for i in range(1999)] + [(1, 50), (60, 70), (60, 1)]
+    got = chains(spark, pairs)
+    assert all(got[100 + i] == (1, 50, 2, None, False) for i in range(1000))
+    assert got[2000] == (2001, 3999, 1999, None, False) and got[60] == (1, 50, 2, None, False)
