@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from shapewright.operators.numbering import dense_rank_all
 from shapewright.operators.ranking import latest_per_key, top_per_group, top_rows
+from shapewright.plans.all_queries import ORACLES, QUERIES
 from shapewright.plans.capacity import range_partitions
 from shapewright.sources.tables import scan
 
@@ -16,9 +17,9 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_bad_operators(spark, small, name):
-    plan = plan_of(queries()[name](spark, small))
+    plan = plan_of(QUERIES[name](spark, small))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     if name not in WITH_PYTHON:
         assert "EvalPython" not in plan and "InPandas" not in plan and "InArrow" not in plan
@@ -34,12 +35,12 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES)
 
 
 def test_pushdown_and_pruning(spark, small):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
-    plan = plan_of(queries()["filters"](spark, small))
+    plan = plan_of(QUERIES["filters"](spark, small))
     assert "GreaterThanOrEqual(o_orderdate,2001-06-02T00:00)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderdate:timestamp_ntz,o_orderpriority:string>" in plan
     assert "o_custkey" not in plan
