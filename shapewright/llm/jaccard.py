@@ -5,8 +5,8 @@ a corpus: documents that share nothing with a pivot are at distance 1 from it, a
 triangle inequality would copy all of them everywhere. So regions start as cells of documents that share
 one of their rarest shingles (two linked documents always do), and within a cell:
 
-* a pivot is chosen and met by every member: sketches bound the distance from below, and where they
-  leave a link possible the whole texts are compared. Members within EPS link to the pivot;
+* a pivot is chosen and met by every member: sketches bound the distance from below, a short one that
+  every member carries, then one that grows with the set, and where they leave a link possible the whole texts are compared. Members within EPS link to the pivot;
 * they are one region, the others the next. By the triangle inequality a link from the first ends within
   twice EPS of the pivot, so others that may be there are copied to it (the window);
 * a region whose members are already in one class is finished, one with few members is compared pair by
@@ -36,6 +36,8 @@ CORNERS, FILL = 256, 12  # fewest classes of shingles that a sketch counts, and
 LEAF = 8  # regions with no more members are compared pair by pair
 BUCKET_BITS = 18  # frequencies are counted by this many bits of a shingle's hash
 HOT = 32  # a bucket this many times fuller than the mean holds a frequent shingle
+MINI = 8  # long numbers of the parity sketch that members carry
+_MINI = [f"m{i}" for i in range(MINI)]
 _PLACES = "key long, cell long, sid binary, n int, rest int, core boolean, known boolean"
 
 
@@ -105,6 +107,19 @@ def sketches(row: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[byte
     return out
 
 
+def parities(row: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+    """For each set a line of bits: whether an odd number of its shingles is in each class of their hash."""
+    out = np.zeros(rows * MINI, dtype=U)
+    bit = mix(value ^ U(0x452821E638D01377)) >> U(64 - (64 * MINI - 1).bit_length())
+    np.bitwise_xor.at(out, row * MINI + (bit >> U(6)).astype(np.int64), U(1) << (bit & U(63)))
+    return out.reshape(rows, MINI).view(np.int64)
+
+
+def _odd(one: str, two: str):
+    """In how many bits the parity sketches in columns with these prefixes differ: the sets differ in no fewer shingles."""
+    return sum((F.bit_count(F.col(f"{one}{m}").bitwiseXOR(F.col(f"{two}{m}"))) for m in _MINI[1:]), F.bit_count(F.col(f"{one}m0").bitwiseXOR(F.col(f"{two}m0"))))
+
+
 def least_difference(one: list[bytes], two: list[bytes]) -> np.ndarray:
     """By how many shingles two sets differ at least, from their sketches; 0 where a count was cut off."""
     out = np.zeros(len(one), dtype=np.int64)
@@ -120,12 +135,12 @@ def least_difference(one: list[bytes], two: list[bytes]) -> np.ndarray:
 
 
 def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, body, n, sid, sketch for each row; and bucket, times: how often shingles of a bucket were seen.
+    """doc_id, body, n, sid, sketch and parity sketch for each row; and bucket, times: how often shingles of a bucket were seen.
 
     Equal sets of a chunk are counted once. Each task adds its counts up before it hands them on.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "body", "n", "sid", "sketch", "bucket", "times"]
+    names = ["doc_id", "body", "n", "sid", "sketch", *_MINI, "bucket", "times"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, ids = np.zeros(1 << BUCKET_BITS, dtype=np.int64), None
@@ -137,19 +152,20 @@ def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
             chosen[_first_of_each(sizes, sid)] = True
             seen += np.bincount(_bucket(value[chosen[row]]), minlength=len(seen))
             sketch = pa.array(sketches(row, value, sizes), pa.binary())
+            mini = [pa.array(np.ascontiguousarray(column)) for column in parities(row, value, m).T]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("body"), pa.array(sizes), sid, sketch, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names
+                [batch.column("doc_id"), batch.column("body"), pa.array(sizes), sid, sketch, *mini, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names
             )
         used = np.flatnonzero(seen)
         if len(used):
             m = len(used)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), pa.array(used.astype(np.int32)), pa.array(seen[used])],
+                [pa.nulls(m, ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * MINI, pa.array(used.astype(np.int32)), pa.array(seen[used])],
                 names=names,
             )
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
-    return narrow.mapInArrow(scan, f"doc_id {kind}, body long, n long, sid binary, sketch binary, bucket int, times long")
+    return narrow.mapInArrow(scan, f"doc_id {kind}, body long, n long, sid binary, sketch binary, {', '.join(f'{m} long' for m in _MINI)}, bucket int, times long")
 
 
 def frequency_classes(counts: DataFrame) -> np.ndarray:
@@ -330,11 +346,15 @@ def _open_members(members: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def _leaf_pairs(members: DataFrame) -> DataFrame:
-    """a, b of members of one region that may link: in different classes, with a core one, not away in the same step, and enough to share."""
-    two = members.select("region", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "rest", "core", "away", "label")])
+    """a, b of members of one region that may link: in different classes, with a core one, not away in the same step, and enough to share.
+
+    Linked sets differ in a seventh of the sum of their sizes at most, which parity sketches contradict for most others.
+    """
+    two = members.select("region", *[F.col(c).alias(f"_{c}") for c in ("sid", "n", "rest", "core", "away", "label", *_MINI)])
     enough = (NEAR + OF) * F.least("rest", "_rest") >= NEAR * (F.col("n") + F.col("_n"))
     able = enough & (F.col("core") | F.col("_core")) & (F.col("away").bitwiseAND(F.col("_away")) == 0) & (F.col("label") != F.col("_label"))
-    pairs = members.join(two, "region").filter((F.col("sid") < F.col("_sid")) & able)
+    like = _odd("", "_") * (NEAR + OF) <= (F.col("n") + F.col("_n")) * (OF - NEAR)
+    pairs = members.join(two, (members["region"] == two["region"]) & (F.col("sid") < F.col("_sid")) & able & like)
     return pairs.select(F.col("sid").alias("a"), F.col("_sid").alias("b")).distinct()
 
 
@@ -343,11 +363,12 @@ def rings(members: DataFrame, bounds: DataFrame, linked: DataFrame, step: int) -
 
     A link to a near member (at EPS or less) reaches no farther than twice EPS from the pivot. So others
     that may be within that window are copied to the near region, to meet its near members; as copies they
-    are away in this ``step`` (from 1), besides the steps in which they were before. The pivot has met everyone and is left out. ``bounds``: a (member), b (pivot), low (no more than their distance); ``linked``: a, b.
+    are away in this ``step`` (from 1), besides the steps in which they were before. The pivot has met everyone and is left out. ``bounds``: a (member), b (pivot), low (no more than their distance), where the members' own ``least_low`` is not enough; ``linked``: a, b.
     """
     met = members.filter("sid <> pivot").join(
-        bounds.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "low"), ["sid", "pivot"]
+        bounds.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "low"), ["sid", "pivot"], "left"
     )
+    met = met.withColumn("low", F.coalesce("low", "least_low"))
     met = met.join(linked.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), F.lit(True).alias("near")), ["sid", "pivot"], "left")
     near = F.coalesce("near", F.lit(False))
     inner = F.struct(F.lit(0).alias("ring"), F.when(near, F.col("away")).otherwise(F.col("away").bitwiseOR(F.lit(1 << step))).alias("away"))
@@ -403,22 +424,30 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
     stages = Stages(docs.sparkSession)
     scanned = stages.write("sets", sets(docs, k))
     known = scanned.filter("bucket IS NULL").drop("bucket", "times")
+    minis = stages.write("minis", known.filter("sid IS NOT NULL").select("sid", *_MINI).dropDuplicates(["sid"]))
+    known = known.drop(*_MINI)
     order = frequency_classes(scanned.filter("bucket IS NOT NULL"))
     cells = stages.write("cells", shared_cells(postings(docs, order, k)).distinct())
 
     members = size_bands(cells).withColumn("label", F.col("sid"))
     links = labels = None
     for number in range(rounds + 1):
-        able = stages.write(f"able-{number}", _open_members(members, stages.write(f"open-{number}", _unfinished(members))))
+        able = _open_members(members, stages.write(f"open-{number}", _unfinished(members)))
+        able = stages.write(f"able-{number}", able.join(minis, "sid"))
         regions = stages.write(f"mixed-{number}", _unfinished(able).select("region", "members"))
         small = F.lit(True) if number == rounds else F.col("members") <= LEAF
         pairs = _leaf_pairs(able.join(regions.filter(small), "region", "left_semi"))
-        pivots = able.groupBy("region").agg(F.min(F.struct(F.bit_count("away"), "sid")).getField("sid").alias("pivot"))
+        first = F.min(F.struct(F.bit_count("away"), "sid", "n", *_MINI)).alias("at")
+        pivots = able.groupBy("region").agg(first).select("region", F.col("at.sid").alias("pivot"), *[F.col(f"at.{c}").alias(f"pivot_{c}") for c in ("n", *_MINI)])
         pivots = stages.write(f"pivots-{number}", pivots.join(regions.filter(~small), "region", "left_semi"))
         deeper = not pivots.isEmpty()
         if deeper:
-            members = stages.write(f"members-{number}", able.join(pivots, "region").drop("label"))
-            pairs = pairs.unionByName(members.filter("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b"))).distinct()
+            apart = _odd("", "pivot_")
+            low = 2.0 * apart / F.greatest(F.col("n") + F.col("pivot_n") + apart, F.lit(1))
+            met = able.join(pivots, "region").withColumn("least_low", low)
+            members = stages.write(f"members-{number}", met.select("region", "sid", "n", "rest", "core", "away", "pivot", "least_low"))
+            near = members.filter((F.col("sid") != F.col("pivot")) & (F.col("least_low") <= 2 * EPS + 1e-9))
+            pairs = pairs.unionByName(near.select(F.col("sid").alias("a"), F.col("pivot").alias("b"))).distinct()
         pairs = stages.write(f"pairs-{number}", pairs)
         bounds = stages.write(f"bounds-{number}", _bounds(pairs, known))
         near = stages.write(f"near-{number}", bounds.filter(F.col("low") <= EPS + 1e-9).select("a", "b"))
@@ -432,7 +461,7 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
         placed = stages.write(f"rings-{number}", rings(members, bounds, found, number + 1))
         members = _labelled(placed, labels)
         stages.drop(f"able-{number}", f"open-{number}", f"members-{number}", f"overlaps-{number}", f"pairs-{number}", f"rings-{number - 1}")
-    stages.drop("texts", "cells")
+    stages.drop("texts", "cells", "minis")
 
     rows = known.drop("body", "sketch")
     rows = rows.join(labels, "sid", "left")
