@@ -79,3 +79,29 @@ def release(spark: SparkSession) -> int:
         place = jvm.org.apache.hadoop.fs.Path(_settled.pop())
         count += bool(place.getFileSystem(conf).delete(place, True))
     return count
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Creates a small file, whole or not at all; False if there is one already.
+
+    It is written beside its place and renamed without replacing, which a file system does in one step. So of several
+    writers one succeeds, and one that dies leaves nothing under the name.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(conf)
+    draft = jvm.org.apache.hadoop.fs.Path(place.getParent().getParent(), f"drafts/{uuid.uuid4().hex}")
+    out = files.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.mkdirs(place.getParent())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf)
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    try:
+        context.rename(files.makeQualified(draft), files.makeQualified(place), spark.sparkContext._gateway.new_array(rename, 0))
+    except Exception:
+        files.delete(draft, False)
+        if files.exists(place):
+            return False
+        raise
+    return True

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from shapewright.session import settle
+from shapewright.session import create_file, settle
 
 ROWS_PER_FILE = 1_000_000
 ATTEMPTS = 5
@@ -49,23 +49,8 @@ class KeyedTable:
 
     def _publish(self, version: int, commit: dict) -> None:
         """Creates the commit file of a version, whole or not at all, or fails as there is one already."""
-        files, draft = self._files(), self._path(f"drafts/{uuid.uuid4().hex}")
-        out = files.create(draft, True)
-        out.write(bytearray(json.dumps(commit).encode()))
-        out.close()
-        files.mkdirs(self._path("commits"))
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(
-            files.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration()
-        )
-        rename = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
-        never_replace = self.spark.sparkContext._gateway.new_array(rename, 0)
-        try:
-            context.rename(files.makeQualified(draft), files.makeQualified(self._path(f"commits/{version:012d}")), never_replace)
-        except Exception as failure:
-            files.delete(draft, False)
-            if files.exists(self._path(f"commits/{version:012d}")):
-                raise ConcurrentCommit(f"version {version} of {self.folder}") from failure
-            raise
+        if not create_file(self.spark, f"{self.folder}/commits/{version:012d}", json.dumps(commit)):
+            raise ConcurrentCommit(f"version {version} of {self.folder}")
 
     def versions(self) -> list[int]:
         files, place = self._files(), self._path("commits")
