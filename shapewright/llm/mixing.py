@@ -122,7 +122,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=Fraction(3, 2), max_epochs: int
     out = rows.join(placed, rows["source"].eqNullSafe(placed["_source"]))
     at = F.substring("order", 1, F.length("prefix"))
     extra = F.when(at < F.col("prefix"), 1).when((at == F.col("prefix")) & F.col("half"), 1).otherwise(0)
-    return out.select("doc_id", "source", *keep, "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    copies = F.least(F.col("whole") + extra, F.lit(max_epochs)).alias("copies")
+    return out.select("doc_id", "source", *keep, "size", "source_size", "target", copies)
 
 
 def _inside(rows: DataFrame, cuts: DataFrame) -> DataFrame:
