@@ -56,31 +56,46 @@ def _plain(token: Column) -> Column:
     return F.ltrim(token, F.lit(NAME + NUMBER + UNIT + FIRST))
 
 
-def _forms(tokens: Column) -> dict[str, Column]:
-    """Hashes of the tokens in the three forms that windows are joined in, and with all values."""
-    plain = lambda t: F.xxhash64(_plain(t))
-    kind = lambda t: F.xxhash64(_kind(t))
-    return {
-        "names": F.transform(tokens, lambda t: F.when(_kind(t).isin(NAME, NUMBER, UNIT), kind(t)).otherwise(plain(t))),
-        "capitals": F.transform(tokens, lambda t: F.when(_kind(t).isin(NAME, FIRST), F.xxhash64(F.lit(NAME))).when(_kind(t).isin(NUMBER, UNIT), kind(t)).otherwise(plain(t))),
-        "words": F.transform(tokens, lambda t: F.when(_kind(t).isin(NUMBER, UNIT), kind(t)).otherwise(plain(t))),
-        "values": F.transform(tokens, plain),
-    }
+#: how a token is hashed in windows: a word by its letters, a value by its kind
+_WORD, _NAME, _NUMBER, _UNIT, _FIRST = range(5)
 
 
 def _with_forms(rows: DataFrame) -> DataFrame:
-    forms = _forms(F.col("tokens"))
-    return rows.withColumns({f"_{name}": form for name, form in forms.items()})
+    """Adds hashes of the tokens in the three forms that windows are joined in, and with all values (_values).
+
+    Letters are hashed and kinds read once for each token, the forms are made from these numbers.
+    """
+    kind = lambda t: F.when(_kind(t) == NAME, _NAME).when(_kind(t) == NUMBER, _NUMBER).when(_kind(t) == UNIT, _UNIT).when(_kind(t) == FIRST, _FIRST).otherwise(_WORD)
+    rows = rows.withColumns({"_values": F.transform("tokens", lambda t: F.xxhash64(_plain(t))), "_kinds": F.transform("tokens", kind)})
+    same = {n: F.lit(n).cast("long") for n in (_NAME, _NUMBER, _UNIT)}
+    value = lambda k, other: F.when(k == _NUMBER, same[_NUMBER]).when(k == _UNIT, same[_UNIT]).otherwise(other)
+    forms = {
+        "_names": lambda v, k: value(k, F.when(k == _NAME, same[_NAME]).otherwise(v)),
+        "_capitals": lambda v, k: value(k, F.when((k == _NAME) | (k == _FIRST), same[_NAME]).otherwise(v)),
+        "_words": lambda v, k: value(k, v),
+    }
+    return rows.withColumns({name: F.zip_with("_values", "_kinds", form) for name, form in forms.items()})
 
 
-def _window_hashes(hashes: str, size: int) -> Column:
-    """A hash of each window of ``size`` tokens, by start from 0; no windows in a shorter text.
+def _with_windows(rows: DataFrame, form: str, size: int) -> DataFrame:
+    """Adds a column of the hash of each window of ``size`` tokens, by start; see ``_windows``.
 
-    ``hashes`` is a column of the input: an expression would be worked out again for each window.
+    Neighbouring hashes are joined to pairs, pairs to fours and so on, so a window costs log2(size) steps.
+    Each step is a column of its own: as one expression the steps would be worked out again for each use.
     """
-    starts = F.sequence(F.lit(1), F.size(hashes) - (size - 1))
-    none = F.array().cast("array<bigint>")
-    return F.when(F.size(hashes) >= size, F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, F.lit(size))))).otherwise(none)
+    if size == 1 or f"{form}_{size}" in rows.columns:
+        return rows
+    half = (size + 1) // 2
+    rows = _with_windows(rows, form, half)
+    left = form if half == 1 else f"{form}_{half}"
+    later = F.slice(left, size - half + 1, F.size(left))
+    return rows.withColumn(f"{form}_{size}", F.zip_with(left, later, lambda a, b: F.xxhash64(a, b)))
+
+
+def _windows(form: str, size: int) -> Column:
+    """The column that ``_with_windows`` has added, cut to whole windows; none in a shorter text."""
+    whole = F.slice(form if size == 1 else f"{form}_{size}", F.lit(1), F.size(form) - (size - 1))
+    return F.when(F.size(form) >= size, whole).otherwise(F.array().cast("array<bigint>"))
 
 
 def _words(tokens: Column) -> Column:
@@ -107,12 +122,15 @@ def item_texts(items: DataFrame, size: int = WINDOW, min_literals: int = MIN_LIT
 def item_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, variant, place, length and window: what is looked for in documents. Of a long exact text its first ``size`` values are."""
     rows = _with_forms(texts).withColumn("length", F.least("width", F.lit(size)))
-
-    def at(form: str) -> Column:
-        return F.transform("places", lambda p: F.struct(p.alias("place"), F.xxhash64(F.slice(F.col(form), p + 1, F.col("length"))).alias("window")))
-
-    found = F.when(F.col("exact"), at("_values")).otherwise(F.concat(at("_names"), at("_capitals"), at("_words")))
-    return rows.select("item_id", "variant", "length", "exact", F.explode(found).alias("at")).select("item_id", "variant", "length", "exact", "at.*").distinct()
+    found = []
+    for form in ("_names", "_capitals", "_words", "_values"):
+        for length in range(1, size + 1):
+            rows = _with_windows(rows, form, length)
+        hashes = F.coalesce(*[F.when(F.col("length") == n, _windows(form, n)) for n in range(1, size + 1)])
+        rows = rows.withColumn(f"{form}_all", hashes)
+        found.append(F.transform("places", lambda p: F.struct(p.alias("place"), F.get(f"{form}_all", p).alias("window"))))  # noqa: B023
+    chosen = F.when(F.col("exact"), found[3]).otherwise(F.concat(*found[:3]))
+    return rows.select("item_id", "variant", "length", "exact", F.explode(chosen).alias("at")).select("item_id", "variant", "length", "exact", "at.*").distinct()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -204,11 +222,11 @@ def contaminated(
     lengths = {(r.length, r.exact) for r in windows.select("length", "exact").distinct().collect()}  # no more than 2 * size
     own = keyed(docs)
     rolled = _with_forms(own.select("doc_id", "body", template_tokens(F.col("text")).alias("tokens")))
-    looked = [
-        F.struct(F.lit(length).alias("length"), F.lit(exact).alias("exact"), _window_hashes(form, length).alias("found"))
-        for length, exact in sorted(lengths)
-        for form in (["_values"] if exact else ["_names", "_capitals", "_words"])
-    ]
+    looked = []
+    for length, exact in sorted(lengths):
+        for form in ["_values"] if exact else ["_names", "_capitals", "_words"]:
+            rolled = _with_windows(rolled, form, length)
+            looked.append(F.struct(F.lit(length).alias("length"), F.lit(exact).alias("exact"), _windows(form, length).alias("found")))
     none = F.array().cast("array<struct<length:int,exact:boolean,found:array<bigint>>>")
     rolled = rolled.select("doc_id", "body", F.explode(F.array(*looked) if looked else none).alias("form"))
     rolled = rolled.select("doc_id", "body", "form.length", "form.exact", F.posexplode("form.found").alias("pos", "window"))
