@@ -8,16 +8,19 @@ is committed again under its id changes nothing.
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from shapewright.llm.common import SPACE_WORD, table
-from shapewright.session import new_folder
+from shapewright.session import create_file, new_folder
 
 KEYS = ("source", "lang", "tokenizer")
 #: tokenizer versions that are a pattern: each match is a token
@@ -78,12 +81,17 @@ def revise(before: DataFrame, after: DataFrame) -> list[DataFrame]:
     return [signed(before, -1), signed(after, 1)]
 
 
+class RepeatedBatch(ValueError):
+    """A batch id is committed already, with other changes."""
+
+
 class TokenRollup:
-    """A rollup table in a shared folder: one sub-folder of summed, signed rows for each batch.
+    """A rollup table in a shared folder: folders of summed, signed rows, and one small file for each batch that counts.
 
-    A batch counts once its writer has left the success marker; a folder without it (a writer that died)
-    is ignored and replaced by the next try. Summing happens map-side, so a source with a third of all
-    documents sends no more rows than any other.
+    A batch is written to a folder of its own and counts from the moment its file is created, whole or not at all.
+    The file fails to be created if there is one of its id, so of two writers of a batch one counts. Folders
+    that no file names, of writers that died, are ignored. ``compact`` sums all batches up into one folder, so
+    that totals read few files. Summing happens map-side: a source with a third of all documents sends no more rows than any other.
     """
 
     def __init__(self, spark: SparkSession, folder: str):
@@ -95,56 +103,92 @@ class TokenRollup:
     def _files(self):
         return self._path("x").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _create(self, name: str, record: dict) -> bool:
+        """Creates a file with the record, whole or not at all; False if it is there already."""
+        return create_file(self.spark, f"{self.folder}/{name}", json.dumps(record))
+
+    def _records(self, kind: str) -> dict[str, dict]:
+        files, place = self._files(), self._path(kind)
+        if not files.exists(place) or not files.listStatus(place):
+            return {}
+        rows = self.spark.read.text(f"{self.folder}/{kind}", wholetext=True).select("value").collect()
+        return {r["id"]: r for r in (json.loads(row["value"]) for row in rows)}
+
     def committed(self) -> list[str]:
         """Ids of the batches that count."""
-        files, root = self._files(), self._path(".")
-        names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
-        return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and files.exists(self._path(f"{n}/_SUCCESS")))
+        return sorted(self._records("batches"))
 
-    def commit(self, batch: str, changes: list[DataFrame]) -> bool:
-        """Adds the signed changes under the batch's id; False, and nothing happens, if it is already there."""
-        if batch in self.committed():
-            return False
-        rows = reduce(DataFrame.unionByName, changes)
+    def _sums(self, rows: DataFrame) -> DataFrame:
         sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.filter("docs <> 0 OR tokens <> 0").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/batch={batch}")
-        return True
-
-    def totals(self, at_least: Column | None = None) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens over all batches; groups that came to nothing are left out.
+        return sums.filter("docs <> 0 OR tokens <> 0")
 
-        Null sources and languages are groups of their own. No batch: no rows.
-        """
-        names = self.committed()
+    def _read(self, folders: list[str]) -> DataFrame:
         schema = "source string, lang string, tokenizer string, docs long, tokens long"
-        if not names:
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.folder}/batch={n}" for n in names])
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.filter("docs <> 0 OR tokens <> 0")
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{f}" for f in folders])
 
+    def commit(self, batch: str, changes: list[DataFrame]) -> bool:
+        """Adds the signed changes under the batch's id; False, and nothing happens, if it is already there.
 
-SHORT = 200  # code points under which the query's clean-up deletes a document
+        The same id with other changes is a ``RepeatedBatch``. Any text can be an id.
+        """
+        folder = f"data/{uuid.uuid4().hex}"
+        self._sums(reduce(DataFrame.unionByName, changes)).coalesce(1).write.parquet(f"{self.folder}/{folder}")
+        row = F.xxhash64(*KEYS, "docs", "tokens").cast("decimal(38,0)")
+        content = str(self._read([folder]).agg(F.coalesce(F.sum(row), F.lit(0))).first()[0])
+        name = hashlib.sha256(batch.encode()).hexdigest()
+        if self._create(f"batches/{name}", {"id": batch, "folder": folder, "content": content}):
+            return True
+        self._files().delete(self._path(folder), True)
+        if self._records("batches")[batch]["content"] != content:
+            raise RepeatedBatch(batch)
+        return False
+
+    def _state(self) -> tuple[int, list[str], list[str]]:
+        """Number of compactions, all batches that count, folders that hold them."""
+        rounds = self._records("compactions")
+        last = max(rounds.values(), key=lambda r: r["round"], default={"round": 0, "batches": [], "folder": None})
+        held, known = set(last["batches"]), self._records("batches")
+        newer = [r["folder"] for b, r in sorted(known.items()) if b not in held]
+        return last["round"], sorted(known), ([last["folder"]] if last["folder"] else []) + newer
+
+    def compact(self) -> bool:
+        """Sums up what is committed into one folder; False if another writer was first. Old folders stay for readers under way."""
+        number, batches, folders = self._state()
+        folder = f"data/{uuid.uuid4().hex}"
+        self._sums(self._read(folders)).coalesce(1).write.parquet(f"{self.folder}/{folder}")
+        return self._create(f"compactions/{number + 1:09d}", {"id": str(number + 1), "round": number + 1, "batches": batches, "folder": folder})
+
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, docs, tokens over all batches; groups that came to nothing are left out.
+
+        Null sources and languages are groups of their own. No batch: no rows.
+        """
+        return self._sums(self._read(self._state()[2]))
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:
-    """Totals after four batches over all documents, the last one a repetition.
+    """Totals of all documents under both tokenizer versions, after batches that insert, revise, delete and repeat.
 
-    Load: every document by words-1. Recount: documents in English are revised from words-1 to pieces-2,
-    the others get pieces-2 besides. Clean-up: what is counted of documents under 200 code points goes.
+    Load: every document by words-1, English ones as if they had no text. Correction: English documents are revised to
+    their counts. Recount: every document by pieces-2 besides. Move: documents without source are deleted and
+    inserted again. The load is committed once more at the end, which changes nothing.
     """
-    docs = table(spark, sf_dir, "documents")
-    chars = F.coalesce(F.length("text"), F.lit(0)).alias("chars")
-    sized = docs.select("doc_id", "source", "lang", "text", chars)
-    counts = pattern_counts(sized, PATTERNS, carry=("chars",))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    counts = pattern_counts(docs, PATTERNS)
     rollup = TokenRollup(spark, new_folder(spark, "token-rollup"))
     old, new = counts.filter("tokenizer = 'words-1'"), counts.filter("tokenizer = 'pieces-2'")
     english = F.col("lang").eqNullSafe("en")
-    rollup.commit("1-load", insert(old))
-    rollup.commit("2-recount", [*revise(old.filter(english), new.filter(english)), *insert(new.filter(~english))])
-    short = F.col("chars") < SHORT
-    rollup.commit("3-clean-up", [*delete(old.filter(short & ~english)), *delete(new.filter(short))])
-    rollup.commit("1-load", insert(old))
+    first = old.withColumn("tokens", F.when(english, F.lit(0)).otherwise(F.col("tokens")).cast("long"))
+    rollup.commit("1-load", insert(first))
+    rollup.commit("2-correction", revise(first.filter(english), old.filter(english)))
+    rollup.commit("3-recount", insert(new))
+    moved = F.col("source").isNull()
+    rollup.commit("4-move-out", delete(old.filter(moved)))
+    rollup.commit("5-move-in", insert(old.filter(moved)))
+    rollup.commit("1-load", insert(first))
+    rollup.compact()
     return rollup.totals()
 
 
@@ -154,9 +198,9 @@ WITH counted AS (
     {{'tokenizer': 'words-1', 'tokens': len(regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}'))}},
     {{'tokenizer': 'pieces-2', 'tokens': len(regexp_extract_all(coalesce(text, ''), '{PATTERNS["pieces-2"]}'))}}
   ]) AS c
-  FROM documents WHERE coalesce(length(text), 0) >= {SHORT}
+  FROM documents
 )
 SELECT source, lang, c.tokenizer AS tokenizer, count(*) AS docs, sum(c.tokens)::BIGINT AS tokens
-FROM counted WHERE NOT (c.tokenizer = 'words-1' AND lang IS NOT DISTINCT FROM 'en')
+FROM counted
 GROUP BY ALL
 """

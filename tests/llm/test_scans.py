@@ -11,7 +11,7 @@ import corpus_pipeline
 from shapewright.llm import decontamination, licenses, mixing, pii, toxicity, urls
 from shapewright.llm.common import Stages
 from shapewright.llm.queries import ORACLES, QUERIES
-from shapewright.llm.token_counts import PATTERNS, TokenRollup, bpe_counts, delete, insert, pattern_counts, revise
+from shapewright.llm.token_counts import PATTERNS, RepeatedBatch, TokenRollup, bpe_counts, delete, insert, pattern_counts, revise
 from shapewright.session import new_folder
 
 
@@ -183,15 +183,45 @@ def test_rollup_deltas(spark, make, odd, tmp_path):
     rollup.commit("b", revise(counts.filter("doc_id = 0"), more.filter("doc_id = 0")))
     rollup.commit("c", delete(counts.filter("doc_id = 1")))
     assert {(r.source, r.docs, r.tokens) for r in rollup.totals().collect()} == {("s0", 2, 4), ("s2", 1, 0)}
-    # a batch whose writer died leaves no marker: it does not count, and can be written again
-    spark.range(1).write.parquet(f"{rollup.folder}/batch=d")
-    path = rollup._path("batch=d/_SUCCESS")
-    rollup._files().delete(path, False)
-    assert "d" not in rollup.committed() and rollup.commit("d", delete(counts.filter("doc_id = 2")))
+    # a writer that dies before its batch counts leaves a folder that no total reads
+    spark.createDataFrame([("s9", "en", "words-1", 5, 5)], rollup.totals().schema).write.parquet(f"{rollup.folder}/data/dead")
+    assert rollup.commit("d", delete(counts.filter("doc_id = 2")))
     assert {(r.source, r.docs) for r in rollup.totals().collect()} == {("s0", 2)}
     assert pattern_counts(odd, PATTERNS).count() == 2 * odd.count()
 
 
+def test_rollup_of_two_writers_and_repeated_ids(spark, make, tmp_path, monkeypatch):
+    counts = pattern_counts(make(["a b c", "d e"]), {"words-1": PATTERNS["words-1"]})
+    one, two = (TokenRollup(spark, f"{tmp_path}/r") for _ in range(2))
+    create = TokenRollup._create
+
+    def meet(self, name, record):  # the second writer commits the same batch just before the first one does
+        if self is one and name.startswith("batches"):
+            monkeypatch.setattr(TokenRollup, "_create", create)
+            assert two.commit("../x/ä", insert(counts))
+        return create(self, name, record)
+
+    monkeypatch.setattr(TokenRollup, "_create", meet)
+    assert not one.commit("../x/ä", insert(counts))
+    assert one.committed() == ["../x/ä"] and {p.name for p in tmp_path.iterdir()} == {"r"}
+    with pytest.raises(RepeatedBatch):
+        one.commit("../x/ä", insert(counts.filter("doc_id = 0")))
+    assert sorted((r.source, r.docs, r.tokens) for r in two.totals().collect()) == [("s0", 1, 3), ("s1", 1, 2)]
+
+
+def test_rollup_compaction(spark, make, empty, odd, tmp_path):
+    counts = pattern_counts(make(["a b c", "d e"]), PATTERNS)
+    rollup = TokenRollup(spark, f"{tmp_path}/r")
+    wide = pattern_counts(odd, {"words-1": PATTERNS["words-1"]})
+    for batch, changes in (("1", insert(counts)), ("2", insert(wide)), ("3", insert(pattern_counts(empty, PATTERNS)))):
+        rollup.commit(batch, changes)
+    before = sorted(map(repr, rollup.totals().collect()))
+    assert rollup.compact() and sorted(map(repr, rollup.totals().collect())) == before
+    assert len(rollup.totals().inputFiles()) == 1
+    assert not rollup.commit("2", insert(wide)) and rollup.commit("4", delete(wide)) and rollup.compact()
+    assert {(r.source, r.docs) for r in rollup.totals().collect()} == {("s0", 1), ("s1", 1)}
+
+
 def test_byte_pairs_count_like_the_encoding(make, tmp_path):
     import base64
 
@@ -262,6 +292,22 @@ def tables(spark, prose, tmp_path):
     return write
 
 
+def test_mixing_copies_no_document_more_often_than_allowed(make):
+    """Documents without words come before the cut; they do not get a copy above the limit."""
+    rows = mixing.mix(make([(3 * i, "a b c" if i % 3 == 0 else "") for i in range(60)] + [(3 * i + 1, "a " * 500) for i in range(60)])).collect()
+    assert max(r.copies for r in rows) == 2 and {r.copies for r in rows if r.source == "s0"} == {2}
+
+
+def test_run_of_the_pipeline(spark, make, prose, tables):
+    """run() gives what the stages give, and leaves only its result behind."""
+    folder = tables(make([prose(i, 60) for i in range(60)] + [prose(5, 60), prose(6, 60) + " x", None, ""]))
+    want = sorted(map(repr, staged(spark, folder)[-1].collect()))
+    Stages.release()
+    got = corpus_pipeline.run(spark, folder)
+    assert sorted(map(repr, got.collect())) == want
+    assert sum(len(s.folders) for s in Stages.written) == 1
+
+
 def staged(spark, folder):
     stages, docs, seen = Stages(spark), spark.read.parquet(f"{folder}/documents.parquet"), []
     for name, function in corpus_pipeline.STAGES:
@@ -299,6 +345,6 @@ def test_pipeline_on_odd_rows_and_without_rows(spark, odd, empty, tables, tmp_pa
 
 
 def test_registered_names():
-    assert {re.match(r"op(\d+)_", n).group(1) for n in QUERIES} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", n).group(1) for n in QUERIES} == {str(n) for n in range(1, 14)}
     assert set(ORACLES) <= set(QUERIES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "jaccard_join", "decontamination", "pii", "mixing"]
