@@ -6,6 +6,9 @@ in spark.checkpoint.dir and read again. Rows are carried as one struct, so colum
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +16,36 @@ from shapewright.llm import decontamination, jaccard, mixing, pii, toxicity
 from shapewright.llm.common import Stages, table
 
 
+_inner: dict[str, list[Stages]] = {}  # by application: what the operators of the stage before have written
+
+
+def _drop_inner(spark: SparkSession, docs: DataFrame) -> None:
+    """Deletes the intermediate tables of the stage before, as its result has been written; not those that ``docs`` reads."""
+    read = docs.inputFiles()
+    for stages in _inner.pop(spark.sparkContext.applicationId, []):
+        done = [n for n, folder in stages.folders.items() if not any(folder.split("/")[-1] in file for file in read)]
+        stages.drop(*done)
+
+
+def _stage(function: Callable) -> Callable:
+    @wraps(function)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        _drop_inner(spark, docs)
+        before = len(Stages.written)
+        result = function(spark, docs, sf_dir)
+        _inner[spark.sparkContext.applicationId] = Stages.written[before:]
+        return result
+
+    return run_stage
+
+
 def _carried(docs: DataFrame) -> DataFrame:
     """_row (all columns), doc_id, source and text."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
+    columns = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    return docs.select(F.struct(*columns).alias("_row"), "doc_id", "source", "text")
 
 
+@_stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels of those at hand, does not reject.
 
@@ -28,6 +56,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("predicted = 0").select("_row.*")
 
 
+@_stage
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of near duplicates; those without id come last.
 
@@ -45,6 +74,7 @@ def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return rows.join(losers, "_uid", "left_anti").select("_row.*")
 
 
+@_stage
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found. Without benchmark or text nothing is found."""
     found = decontamination.contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -54,6 +84,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return own.join(found, same, "left_anti").select("_row.*")
 
 
+@_stage
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with personal data replaced by its kind in brackets, and n_chars to match."""
     found = pii.find_personal_data(_carried(docs), keep=("_row",))
@@ -66,6 +97,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return changed.select(*[columns[c].alias(c) for c in docs.columns])
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix, each as often as it is taken, numbered from 1 in ``mix_copy``."""
     name = "mix_copy"
@@ -95,4 +127,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stages.write(f"pipeline-{name}", function(spark, docs, sf_dir))
         if i:
             stages.drop(f"pipeline-{STAGES[i - 1][0]}")
+    _drop_inner(spark, docs)
     return docs
