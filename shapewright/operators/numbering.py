@@ -109,8 +109,8 @@ def lag_lead(
     """Value of the row before (``lag``: {new column: source column}) and after (``lead``) per group.
 
     ``order_by`` must be unique within a group. Groups that fit a task use a window. With a hot group
-    the rows are numbered over (by, order) and joined to themselves on the shifted number, which
-    spreads evenly whatever the group sizes are.
+    the rows are cut into slices of the order (by, order_by) instead, with windows inside the slices; what
+    the first and last row of a slice lack comes from the slices beside it, one row each.
     """
     lag, lead = lag or {}, lead or {}
     if not has_hot_group(df, by, hot_rows):
@@ -120,20 +120,53 @@ def lag_lead(
             *[F.lag(src).over(w).alias(new) for new, src in lag.items()],
             *[F.lead(src).over(w).alias(new) for new, src in lead.items()],
         )
-    numbered = number_rows(df, [*by, *_columns(order_by)], "_no")
-    out = numbered
-    for shift, wanted in ((1, lag), (-1, lead)):
-        if wanted:
-            other = numbered.select(
-                (F.col("_no") + shift).alias("_no"),
-                *[F.col(b).alias(f"_by_{b}") for b in by],
-                *[F.col(src).alias(new) for new, src in wanted.items()],
-            )
-            same = out["_no"] == other["_no"]
-            for b in by:
-                same = same & out[b].eqNullSafe(other[f"_by_{b}"])
-            out = out.join(other, same, "left").drop(other["_no"]).drop(*[f"_by_{b}" for b in by])
-    return out.drop("_no")
+    placed = _slices(df, [*by, *_columns(order_by)])
+    wanted = dict.fromkeys([*by, *lag.values(), *lead.values()])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"_{at}") for at, c in enumerate(wanted)])
+    field = {c: f"_{at}" for at, c in enumerate(wanted)}
+    edges = placed.groupBy("_slice").agg(F.min_by(row, "_at").alias("_first"), F.max_by(row, "_at").alias("_last"))
+    beside = Window.orderBy("_slice")
+    edges = edges.select("_slice", F.lag("_last").over(beside).alias("_above"), F.lead("_first").over(beside).alias("_below"))
+    inside = Window.partitionBy("_slice").orderBy("_at")
+    out = placed.join(F.broadcast(edges), "_slice").select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.coalesce(F.lag(row).over(inside), "_above").alias("_above"),
+        F.coalesce(F.lead(row).over(inside), "_below").alias("_below"),
+    )
+
+    def taken(other: str, source: str) -> Column:
+        same = F.col(other).isNotNull()
+        for b in by:
+            same = same & F.col(f"{other}.{field[b]}").eqNullSafe(F.col(f"`{b}`"))
+        return F.when(same, F.col(f"{other}.{field[source]}"))
+
+    return out.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[taken("_above", src).alias(new) for new, src in lag.items()],
+        *[taken("_below", src).alias(new) for new, src in lead.items()],
+    )
+
+
+def locate_in_ranges(df: DataFrame, key: str, bounds: DataFrame, bound: str, name: str = "range_no") -> DataFrame:
+    """Adds the number, from 1, of the range that ``key`` is in; a bound belongs to the range above it.
+
+    ``bounds`` may be any number of rows; repeated and null bounds do not count. A null key has no range. Keys
+    and bounds are sorted into slices together, the last bound is carried forward inside a slice, and each slice
+    starts with the last bound of those before it. A key held by a third of all rows is split over slices.
+    """
+    known = bounds.select(F.col(bound).alias("_value")).filter("_value IS NOT NULL").distinct()
+    known = number_rows(known, "_value", "_bound_no")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.struct(*columns).alias("_row"), F.col(f"`{key}`").alias("_value"), F.lit(1).alias("_tag"), F.lit(None).cast("long").alias("_bound_no"))
+    none = F.lit(None).cast(rows.schema["_row"].dataType)
+    marks = known.select(none.alias("_row"), F.col("_value").cast(df.schema[key].dataType), F.lit(0).alias("_tag"), "_bound_no")
+    placed = _slices(rows.unionByName(marks), ["_value", "_tag"], but=("_bound_no",))
+    before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_slice").agg(F.max("_bound_no").alias("_top")).select("_slice", F.max("_top").over(before).alias("_before"))
+    inside = Window.partitionBy("_slice").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    passed = F.coalesce(F.max("_bound_no").over(inside), "_before", F.lit(0).cast("long"))
+    located = placed.join(F.broadcast(starts), "_slice").select("_row", "_tag", F.when(F.col("_value").isNotNull(), passed + 1).alias("_no"))
+    return located.filter("_tag = 1").select(*[F.col("_row").getField(c).alias(c) for c in df.columns], F.col("_no").alias(name))
 
 
 def number_in_groups(

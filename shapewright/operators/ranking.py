@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shapewright.operators.numbering import _columns, number_rows
+from shapewright.operators.numbering import SLICE_BITS, _columns, number_rows
 
 FEW_ROWS = 100  # up to here an ordered limit lets every task send its first rows to one task
-TAKE_ROWS = 1000  # up to here Spark cuts a row_number filter down before the shuffle
+ONE_TASK = 100_000  # rows up to which one task puts the page in order
 BUCKETS = 64
 
 
@@ -58,27 +58,35 @@ def latest_or_null(parents: DataFrame, children: DataFrame, key: str, child_key:
 
 
 def top_rows(df: DataFrame, order_by, n: int, skip: int = 0) -> DataFrame:
-    """ORDER BY with LIMIT n OFFSET skip; the order must be given and should be total.
+    """ORDER BY with LIMIT n OFFSET skip; the order must be given. Ties are in order of a hash of the row.
 
-    A plain ordered limit gathers skip + n rows of every task in one task. Beyond a few rows the
-    tasks' first rows are therefore thinned in buckets first, and a deep page is cut from distributed
-    row numbers.
+    The result is in order, for any n. Up to ``FEW_ROWS`` a plain ordered limit is taken, which gathers skip + n rows
+    of every task in one task. Beyond, each task sorts what it has and lets only its first skip + n rows
+    pass, first where the rows are, then once more in ``BUCKETS``; so rows beyond the page are not moved. If
+    it is too long for one task, the rest is numbered and sorted over ranges.
     """
     if n < 0 or skip < 0:
         raise ValueError("n and skip must not be negative")
-    order = _columns(order_by)
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    order = [*_columns(order_by), F.xxhash64(*hashed)]
     last = skip + n
-    if last > TAKE_ROWS:
-        return number_rows(df, order, "_no").filter(F.col("_no").between(skip + 1, last)).drop("_no")
     if last > FEW_ROWS:
-        w = Window.partitionBy("_bucket").orderBy(*order)
-        bucketed = df.withColumn("_bucket", F.spark_partition_id() % BUCKETS)
-        df = bucketed.withColumn("_place", F.row_number().over(w)).filter(F.col("_place") <= last)
-        df = df.drop("_bucket", "_place")
+        df = _first_of_tasks(df, order, last)
+        df = _first_of_tasks(df.repartition(BUCKETS, F.xxhash64(*hashed)), order, last)
+    if last > ONE_TASK:
+        numbered = number_rows(df, order, "_no").filter(F.col("_no").between(skip + 1, last))
+        return numbered.orderBy("_no").drop("_no")
     ordered = df.orderBy(*order)
     return (ordered.offset(skip) if skip else ordered).limit(n)
 
 
+def _first_of_tasks(df: DataFrame, order, last: int) -> DataFrame:
+    """The first ``last`` rows of each partition in the given order."""
+    placed = df.sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    place = F.col("_place").bitwiseAND(F.lit((1 << SLICE_BITS) - 1))
+    return placed.filter(place < last).drop("_place")
+
+
 def sorted_if(df: DataFrame, sort: bool, *order_by) -> DataFrame:
     """The final order of a report. A total sort is a shuffle of its own, so it is only done when asked for."""
     return df.orderBy(*order_by) if sort else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shapewright.functions.numeric import key_limit, pages_to_mb, share_used
+from shapewright.operators.numbering import locate_in_ranges, number_rows
 from shapewright.operators.ranking import sorted_if
 from shapewright.operators.sets import append_all
 from shapewright.session import settle
@@ -60,16 +61,45 @@ def range_ordinal(value: Column, bounds: list[int]) -> Column:
     return F.when(value.isNotNull(), passed + 1)
 
 
+def _between_many(df: DataFrame, key: str, bounds: DataFrame, headroom: int) -> DataFrame:
+    """The report of ``range_partitions`` for a table of bounds. Keys are counted first, so a repeated key moves once."""
+    keys = df.select(F.col(key).cast("long").alias("_key")).filter("_key IS NOT NULL").groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    bounds = settle(bounds.select(F.col(bounds.columns[0]).cast("long").alias("_bound")).filter("_bound IS NOT NULL").distinct(), "bounds")
+    located = locate_in_ranges(keys, "_key", bounds, "_bound", "_no")
+    counts = settle(located.groupBy("_no").agg(F.sum("_n").alias("_rows"), F.max("_key").alias("_top")), "ranges")
+    top_key = counts.agg(F.max("_top")).first()[0]
+    top_bound, many = bounds.agg(F.max("_bound"), F.count(F.lit(1))).first()
+    numbered = number_rows(bounds, "_bound", "_at")
+    upper = numbered.select(F.col("_at").alias("range_no"), F.col("_bound").alias("upper_bound"))
+    lower = numbered.select((F.col("_at") + 1).alias("range_no"), F.col("_bound").alias("lower_bound"))
+    ranges = df.sparkSession.range(1, many + 2).withColumnRenamed("id", "range_no").join(lower, "range_no", "left").join(upper, "range_no", "left")
+    left = None if top_key is None or top_bound is None else top_bound - top_key
+    return ranges.join(counts, ranges["range_no"] == counts["_no"], "left").select(
+        "range_no",
+        "lower_bound",
+        "upper_bound",
+        F.coalesce("_rows", F.lit(0)).alias("rows"),
+        F.col("upper_bound").isNull().alias("is_open"),
+        F.lit(top_key).cast("long").alias("max_key"),
+        F.lit(left).cast("long").alias("headroom"),
+        (F.lit(left).cast("long") < headroom).alias("needs_split"),
+    )
+
+
 def range_partitions(
-    df: DataFrame, key: str, bounds: list[int] | None = None, every: int | None = None, headroom: int = SPLIT_HEADROOM
+    df: DataFrame, key: str, bounds: list[int] | DataFrame | None = None, every: int | None = None, headroom: int = SPLIT_HEADROOM
 ) -> DataFrame:
     """Ranges of a key with their bounds and rows, and whether the last range is to be split.
 
-    Either sorted ``bounds`` or equally spaced ones ``every`` so many keys from 0 up to the largest
-    key. The lower bound is inclusive; the first range has no lower and the last no upper bound. Only
+    Either ``bounds``, a list or a table of one column with any number of them, or equally spaced ones ``every``
+    so many keys from 0 up to the largest key. The lower bound is inclusive; the first range has no lower and the last no upper bound. Only
     the ordinal and its count are shuffled; the ranges join on the ordinal.
     """
     spark = df.sparkSession
+    if isinstance(bounds, list) and len(bounds) > MAX_BOUNDS:
+        bounds = spark.createDataFrame([(b,) for b in bounds], "bound long")
+    if isinstance(bounds, DataFrame):
+        return _between_many(df, key, bounds, headroom)
     if every:
         ordinal = F.expr(f"CASE WHEN `{key}` < 0 THEN 1 ELSE `{key}` div {every} + 1 END")
     else:

@@ -106,6 +106,20 @@ def range_partitions_uneven(t):
     return range_partitions(t.orders, "o_orderkey", bounds=[10, 700, 5000])
 
 
+@query(
+    """WITH b AS (SELECT DISTINCT l_orderkey AS b FROM lineitem WHERE l_orderkey % 3 = 0),
+    n AS (SELECT row_number() OVER (ORDER BY b) AS n, lag(b) OVER (ORDER BY b) AS lo, b AS hi FROM b UNION ALL SELECT count(*) + 1, max(b), NULL FROM b),
+    m AS (SELECT max(o_orderkey) AS top, (SELECT max(b) FROM b) AS last FROM orders)
+    SELECT n.n AS range_no, lo AS lower_bound, hi AS upper_bound, count(o_orderkey) AS rows, hi IS NULL AS is_open, any_value(m.top) AS max_key,
+    any_value(m.last - m.top) AS headroom, any_value(m.last - m.top) < 8000000 AS needs_split
+    FROM n CROSS JOIN m LEFT JOIN orders ON (lo IS NULL OR o_orderkey >= lo) AND (hi IS NULL OR o_orderkey < hi) GROUP BY n.n, lo, hi"""
+)
+def range_partitions_many(t):
+    """Bounds taken from a table, as many as it has."""
+    bounds = t.lineitem.filter("l_orderkey % 3 = 0").select("l_orderkey")
+    return range_partitions(t.orders, "o_orderkey", bounds=bounds)
+
+
 @query(
     """SELECT user_id AS object_id, index_id, seeks, scans, lookups, writes, last_seek, last_scan, coalesce(c_name, 'N/A') AS object_name,
     CASE index_id WHEN 0 THEN 'HEAP' WHEN 1 THEN 'CLUSTERED INDEX' ELSE 'UNCLUSTERED INDEX' END AS kind FROM

@@ -52,12 +52,18 @@ def test_group_limits_come_before_the_shuffle(spark, small):
     for df in (
         latest_per_key(orders, ["o_custkey"], F.col("o_orderkey").desc()),
         top_per_group(orders, ["o_custkey"], "o_totalprice", 3, "dense_rank"),
-        top_rows(orders, "o_orderkey", 1000),
     ):
         limit = plan_of(df).split("WindowGroupLimit")
         assert "Exchange hashpartitioning" in limit[1] and limit[2].split("\n")[0].endswith("Partial")
 
 
+def test_a_deep_page_moves_only_the_first_rows_of_each_task(spark, small):
+    plan = plan_of(top_rows(scan(spark, small, "orders"), "o_orderkey", 10_000))
+    assert "rangepartitioning" not in plan
+    scanned = plan.split("Exchange RoundRobin")[-1].split("Exchange hashpartitioning")[-1]
+    assert scanned.index("Filter") < scanned.index("Sort") < scanned.index("Scan")  # cut where the rows are
+
+
 def test_numbering_reads_only_what_it_needs(spark, small):
     plan = plan_of(dense_rank_all(scan(spark, small, "customer").select("c_custkey", "c_acctbal"), "c_acctbal"))
     assert "ReadSchema: struct<_at:bigint>" in plan

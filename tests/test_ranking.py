@@ -1,3 +1,5 @@
+import bisect
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -7,10 +9,12 @@ from shapewright.operators.joins import rows_at_group_max
 from shapewright.operators.numbering import (
     dense_rank_all,
     lag_lead,
+    locate_in_ranges,
     ntile_in_groups,
     number_in_groups,
     number_rows,
 )
+from shapewright.operators import ranking
 from shapewright.operators.ranking import latest_or_null, latest_per_key, top_per_group, top_rows
 
 
@@ -119,3 +123,46 @@ def test_top_rows(spark, rows):
         assert sorted(r.id for r in page.collect()) == list(range(3000 - skip - n, 3000 - skip))
     with pytest.raises(ValueError):
         top_rows(df, "id", -1)
+
+
+def test_top_rows_have_one_order_for_every_length(spark, monkeypatch):
+    """Pages of any length are in order, and ties fall alike whichever way they are found."""
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") % 40).alias("k"), "id", F.lit(None).cast("string").alias("none"))
+    order = [F.col("k").desc()]
+    whole = [r["id"] for r in top_rows(df, order, 100).collect()]
+    longer = [r["id"] for r in top_rows(df, order, 1500).collect()]
+    monkeypatch.setattr(ranking, "ONE_TASK", 1000)
+    deep = top_rows(df, order, 1500)
+    assert longer[:100] == whole and [r["id"] for r in deep.collect()] == longer
+    assert [r["id"] for r in top_rows(df, order, 50, 1400).collect()] == longer[1400:1450]
+    assert [r["k"] for r in deep.collect()] == sorted((i % 40 for i in longer), reverse=True)
+
+
+def test_lag_lead_over_slices(spark):
+    """Slices, hot groups, null keys and single rows give what a window gives."""
+    rows = [(None if i % 11 == 0 else i % 3 if i < 900 else i, i * 7919 % 1000, f"v{i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "g int, o int, v string")
+    got = {(r["g"], r["o"]): (r["before"], r["after"]) for r in lag_lead(df, ["g"], "o", {"before": "v"}, {"after": "v"}, hot_rows=10).collect()}
+    want = {(r["g"], r["o"]): (r["before"], r["after"]) for r in lag_lead(df, ["g"], "o", {"before": "v"}, {"after": "v"}).collect()}
+    assert got == want and len(got) == 1000
+
+
+def test_locate_in_ranges(spark):
+    bounds = [5, 5, None, 17, 18, 40, -3]
+    keys = [None, -4, -3, 0, 4, 5, 16, 17, 18, 39, 40, 99] + [20] * 300
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, `a b` int")
+    marks = spark.createDataFrame([(b,) for b in bounds], "b long")
+    got = {r["a b"]: r["range_no"] for r in locate_in_ranges(df, "k", marks, "b").collect()}
+    cuts = sorted({b for b in bounds if b is not None})
+    assert got == {i: None if k is None else 1 + sum(b <= k for b in cuts) for i, k in enumerate(keys)}
+    assert {r["range_no"] for r in locate_in_ranges(df.filter("k > 0"), "k", marks.limit(0), "b").collect()} == {1}
+    assert locate_in_ranges(df.limit(0), "k", marks, "b").collect() == []
+
+
+def test_a_million_uneven_bounds(spark):
+    bounds = spark.range(1_000_000).select((F.col("id") * F.col("id") % 1_000_003 * 4 + 1).alias("b"))
+    cuts = sorted({i * i % 1_000_003 * 4 + 1 for i in range(1_000_000)})
+    keys = [-5, 0, 1, 2, 4_000_000, 1_234_567, cuts[1000], cuts[1000] - 1, cuts[-1], cuts[-1] + 9]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    got = {r["k"]: r["range_no"] for r in locate_in_ranges(df, "k", bounds, "b").collect()}
+    assert got == {k: 1 + bisect.bisect_right(cuts, k) for k in keys}
