@@ -34,8 +34,10 @@ EPS = 1 - NEAR / OF
 ROUNDS = 3
 CORNERS, FILL = 256, 12  # fewest classes of shingles that a sketch counts, and most shingles a class has on average
 LEAF = 8  # regions with no more members are compared pair by pair
-BUCKET_BITS = 18  # frequencies are counted by this many bits of a shingle's hash
-HOT = 32  # a bucket this many times fuller than the mean holds a frequent shingle
+FREQUENT = 16  # a shingle seen this often is listed as frequent
+LISTED = 4 << 20  # most shingles that the list holds: 32 MB
+HOT = 10  # power of 2 of the times from which a shingle's rows are spread
+HELD = 4 << 20  # shingles that a task holds before it hands their counts on
 MINI = 8  # long numbers of the parity sketch that members carry
 _MINI = [f"m{i}" for i in range(MINI)]
 _PLACES = "key long, cell long, sid binary, n int, rest int, core boolean, known boolean"
@@ -75,8 +77,10 @@ def set_ids(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray,
     return sizes, pc.if_else(pa.array(sizes > 0), fixed.cast(pa.binary()), pa.scalar(None, pa.binary()))
 
 
-def _bucket(value: np.ndarray) -> np.ndarray:
-    return (value >> U(64 - BUCKET_BITS)).astype(np.int64)
+def _slice_bits(docs: DataFrame) -> int:
+    """Bits of a hash that name its slice: sixteen slices for each shuffle partition."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min((16 * partitions - 1).bit_length(), 24)
 
 
 def _first_of_each(sizes: np.ndarray, sid: pa.Array) -> np.ndarray:
@@ -134,70 +138,109 @@ def least_difference(one: list[bytes], two: list[bytes]) -> np.ndarray:
     return out
 
 
-def sets(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, body, n, sid, sketch and parity sketch for each row; and bucket, times: how often shingles of a bucket were seen.
+def sets(docs: DataFrame, bits: int, k: int = SHINGLE) -> DataFrame:
+    """doc_id, body, n, sid, sketch and parity sketch for each row; and rows of slice, codes, times: how often shingles were seen.
 
-    Equal sets of a chunk are counted once. Each task adds its counts up before it hands them on.
+    A slice is named by the first ``bits`` of a hash, a code is the 32 bits after them. Equal sets of a
+    chunk are counted once, and a task adds up what it holds before it hands it on, so a shingle of all documents has few entries.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "body", "n", "sid", "sketch", *_MINI, "bucket", "times"]
+    names = ["doc_id", "body", "n", "sid", "sketch", *_MINI, "slice", "codes", "times"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ids = np.zeros(1 << BUCKET_BITS, dtype=np.int64), None
+        held, ids = [], None
+
+        def counted() -> pa.RecordBatch:
+            code, times = np.unique(np.concatenate(held) >> U(32 - bits), return_counts=True)
+            slices, first = np.unique((code >> U(32)).astype(np.int32), return_index=True)
+            ends = [*first[1:], len(code)]
+            low, times, m = code.astype(np.uint32), times.astype(np.uint32), len(slices)
+            packed = [pa.array([x[i:j].tobytes() for i, j in zip(first, ends, strict=True)], pa.binary()) for x in (low, times)]
+            empty = [pa.nulls(m, t) for t in (ids, pa.int64(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * MINI)]
+            return pa.RecordBatch.from_arrays([*empty, pa.array(slices), *packed], names=names)
+
         for batch in chunks(batches, "text"):
             ids, m = batch.column("doc_id").type, batch.num_rows
             row, value = shingle_sets(batch.column("text"), k)
             sizes, sid = set_ids(row, value, m)
             chosen = np.zeros(m, dtype=bool)
             chosen[_first_of_each(sizes, sid)] = True
-            seen += np.bincount(_bucket(value[chosen[row]]), minlength=len(seen))
             sketch = pa.array(sketches(row, value, sizes), pa.binary())
             mini = [pa.array(np.ascontiguousarray(column)) for column in parities(row, value, m).T]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("body"), pa.array(sizes), sid, sketch, *mini, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names=names
-            )
-        used = np.flatnonzero(seen)
-        if len(used):
-            m = len(used)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, ids), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary()), *[pa.nulls(m, pa.int64())] * MINI, pa.array(used.astype(np.int32)), pa.array(seen[used])],
-                names=names,
+                [batch.column("doc_id"), batch.column("body"), pa.array(sizes), sid, sketch, *mini, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names
             )
+            held.append(value[chosen[row]])
+            if sum(map(len, held)) >= HELD:
+                yield counted()
+                held = []
+        if any(map(len, held)):
+            yield counted()
 
     narrow = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
-    return narrow.mapInArrow(scan, f"doc_id {kind}, body long, n long, sid binary, sketch binary, {', '.join(f'{m} long' for m in _MINI)}, bucket int, times long")
+    minis = ", ".join(f"{m} long" for m in _MINI)
+    return narrow.mapInArrow(scan, f"doc_id {kind}, body long, n long, sid binary, sketch binary, {minis}, slice int, codes binary, times binary")
+
+
+def frequent_shingles(counts: DataFrame) -> DataFrame:
+    """code (bits of the slice and the 32 after them) and level (power of 2 of the times seen) of shingles seen ``FREQUENT`` times or more."""
 
+    def total(group: pa.Table) -> pa.Table:
+        code, times = (np.frombuffer(b"".join(group.column(c).to_pylist()), np.uint32) for c in ("codes", "times"))
+        order = np.argsort(code, kind="stable")
+        code, times = code[order], times[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        seen = np.add.reduceat(times, first, dtype=np.int64)
+        many = seen >= FREQUENT
+        whole = (group.column("slice")[0].as_py() << 32) + code[first][many].astype(np.int64)
+        return pa.table({"code": pa.array(whole), "level": pa.array(np.floor(np.log2(seen[many])).astype(np.int32))})
 
-def frequency_classes(counts: DataFrame) -> np.ndarray:
-    """For each of the 2**18 buckets how many times fuller than the mean it is, as a power of 2 (0: up to 4 times).
+    return counts.select("slice", "codes", "times").groupBy("slice").applyInArrow(total, "code long, level int")
 
-    Any order of shingles gives exact results; rare ones first keeps cells small.
+
+def frequency_list(frequent: DataFrame) -> np.ndarray:
+    """The frequent shingles in order of code, each as 64 * code + level.
+
+    Of more than ``LISTED`` the levels that fit are listed, from the highest; the others go by their hash
+    like rare ones. Any order of shingles gives exact results; rare ones first keeps cells small.
     """
-    rows = counts.groupBy("bucket").agg(F.sum("times").alias("times")).toPandas()
-    times = np.zeros(1 << BUCKET_BITS)
-    times[rows["bucket"].to_numpy(dtype=np.int64)] = rows["times"].to_numpy(dtype=float)
-    level = np.log2(np.maximum(times / max(times.mean(), 1.0), 1.0))
-    return np.where(level > 2, np.ceil(level), 0).astype(np.uint8)
+    least, room = 64, LISTED
+    for level, count in sorted(((r["level"], r["count"]) for r in frequent.groupBy("level").count().collect()), reverse=True):
+        if count > room:
+            break
+        least, room = level, room - count
+    rows = frequent.filter(F.col("level") >= least).select((F.col("code") * 64 + F.col("level")).alias("entry")).toPandas()
+    return np.sort(rows["entry"].to_numpy(dtype=np.int64)).view(U)
+
+
+def _levels(value: np.ndarray, listed: np.ndarray, codes: np.ndarray, bits: int) -> np.ndarray:
+    """The level of each shingle in the list, 0 for others. ``codes``: those of the list."""
+    if not len(codes):
+        return np.zeros(len(value), dtype=np.uint8)
+    code = value >> U(32 - bits)
+    at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+    return np.where(codes[at] == code, listed[at] & U(63), U(0)).astype(np.uint8)
 
 
-def postings(docs: DataFrame, classes: np.ndarray, k: int = SHINGLE) -> DataFrame:
+def postings(docs: DataFrame, listed: np.ndarray, bits: int, k: int = SHINGLE) -> DataFrame:
     """Places of each set in its cells: cell (a shingle), sid, n, rest (shingles from this one on), core.
 
     A set of n shingles, rarest first, is in the cells of so many of its first that any linked set shares
     one of them. ``core`` marks those that a set at least as large must share. ``key`` is the cell, but
     for frequent shingles (``known``), whose cells certainly have several members, it spreads the rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(classes)
+    shared = docs.sparkSession.sparkContext.broadcast(listed)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
+        listed = shared.value
+        codes = listed >> U(6)
         for batch in chunks(batches, "text"):
             row, value = shingle_sets(batch.column("text"), k)
             sizes, sid = set_ids(row, value, batch.num_rows)
             chosen = np.zeros(batch.num_rows, dtype=bool)
             chosen[_first_of_each(sizes, sid)] = True
             row, value = row[chosen[row]], value[chosen[row]]
-            level = classes[_bucket(value)]
+            level = _levels(value, listed, codes, bits)
             order = np.lexsort((value, level, row))
             row, value, level = row[order], value[order], level[order]
             n = sizes[row]
@@ -205,7 +248,7 @@ def postings(docs: DataFrame, classes: np.ndarray, k: int = SHINGLE) -> DataFram
             pos = np.arange(len(row)) - first
             inside = pos <= n - -(-n * NEAR // OF)
             row, value, level, n, pos = row[inside], value[inside], level[inside], n[inside], pos[inside]
-            known = level >= np.log2(HOT)
+            known = level >= HOT
             spread = mix(value + mix(np.arange(len(value), dtype=U)))
             core = pos <= n - -(-n * 2 * NEAR // (NEAR + OF))
             yield pa.RecordBatch.from_arrays(
@@ -422,12 +465,14 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
     Shingles are compared by 64-bit hashes, sets named by 128 bits.
     """
     stages = Stages(docs.sparkSession)
-    scanned = stages.write("sets", sets(docs, k))
-    known = scanned.filter("bucket IS NULL").drop("bucket", "times")
+    bits = _slice_bits(docs)
+    scanned = stages.write("sets", sets(docs, bits, k))
+    order = frequency_list(stages.write("frequent", frequent_shingles(scanned.filter("slice IS NOT NULL"))))
+    known = stages.write("known", scanned.filter("slice IS NULL").drop("slice", "codes", "times"))
+    stages.drop("sets", "frequent")
     minis = stages.write("minis", known.filter("sid IS NOT NULL").select("sid", *_MINI).dropDuplicates(["sid"]))
     known = known.drop(*_MINI)
-    order = frequency_classes(scanned.filter("bucket IS NOT NULL"))
-    cells = stages.write("cells", shared_cells(postings(docs, order, k)).distinct())
+    cells = stages.write("cells", shared_cells(postings(docs, order, bits, k)).distinct())
 
     members = size_bands(cells).withColumn("label", F.col("sid"))
     links = labels = None
