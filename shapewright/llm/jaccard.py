@@ -363,10 +363,12 @@ def size_bands(cells: DataFrame) -> DataFrame:
 def _unfinished(members: DataFrame) -> DataFrame:
     """Regions in which several classes meet, with a core member, and not all of them away in one step; see ``size_bands``.
 
-    ``least`` and ``most`` bound the sizes and the rests of the members.
+    ``least`` and ``most`` bound the sizes and the rests of the members. Labels are told
+    apart by a 64-bit hash, which Spark aggregates without sorting.
     """
+    label = F.xxhash64("label")
     regions = members.groupBy("region").agg(
-        (F.min("label") != F.max("label")).alias("mixed"),
+        (F.min(label) != F.max(label)).alias("mixed"),
         F.bool_or("core").alias("cored"),
         (F.bit_and("away") == 0).alias("homely"),
         F.min("n").alias("least"),

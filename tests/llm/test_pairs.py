@@ -82,6 +82,53 @@ def test_classes_of_odd_rows(odd, empty):
     assert jaccard.link_classes(empty).collect() == []
 
 
+def shingles_of(texts):
+    """The hashes of every text's set, equal sets once."""
+    row, value = jaccard.shingle_sets(pa.array(texts))
+    return np.concatenate([np.array(x, dtype=np.uint64) for x in {tuple(value[row == i]) for i in range(len(texts))}])
+
+
+def test_frequencies_are_those_of_all_sets(make, prose, monkeypatch):
+    """Counted in several parts a task and in slices, as numpy counts them in one."""
+    monkeypatch.setattr(jaccard, "HELD", 100)
+    passage = prose(7, 30)
+    texts = [f"{passage} {prose(300 + i, 20)}" for i in range(40)] + [prose(600 + i, 40) for i in range(20)] + ["", None]
+    bits = 9
+    counts = jaccard.sets(make(texts), bits).filter("slice IS NOT NULL")
+    got = {(r.code, r.level) for r in jaccard.frequent_shingles(counts).collect()}
+    code, times = np.unique(shingles_of(texts) >> np.uint64(32 - bits), return_counts=True)
+    many = times >= jaccard.FREQUENT
+    assert many.sum() == 26
+    assert got == {(int(c), int(np.log2(t))) for c, t in zip(code[many], times[many], strict=True)}
+
+
+def test_the_list_keeps_the_highest_levels(spark, monkeypatch):
+    rows = spark.createDataFrame([(9, 4), (2, 6), (5, 4), (7, 5)], "code long, level int")
+    assert [(int(x) >> 6, int(x) & 63) for x in jaccard.frequency_list(rows)] == [(2, 6), (5, 4), (7, 5), (9, 4)]
+    monkeypatch.setattr(jaccard, "LISTED", 3)
+    assert [(int(x) >> 6, int(x) & 63) for x in jaccard.frequency_list(rows)] == [(2, 6), (7, 5)]
+    assert len(jaccard.frequency_list(rows.limit(0))) == 0
+
+
+def test_twice_the_corpus_has_twice_the_shared_places(make, prose):
+    """Passages that many documents share do not fill cells, however many other shingles there are."""
+
+    def shared(texts):
+        docs = make(texts)
+        counts = jaccard.sets(docs, 9).filter("slice IS NOT NULL")
+        listed = jaccard.frequency_list(jaccard.frequent_shingles(counts))
+        return jaccard.shared_cells(jaccard.postings(docs, listed, 9)).count()
+
+    def corpus(tag, n=60):
+        passage = " ".join(f"{tag}p{i}" for i in range(30))
+        own = [" ".join(f"{tag}w{i}x{j}" for j in range(120)) for i in range(n)]
+        return [f"{own[i]} {passage}" for i in range(n)] + [own[i].replace("x5 ", "y5 ") + " " + passage for i in range(10)]
+
+    one = shared(corpus("a"))
+    assert 0 < one < 10 * 2 * 34 + 10
+    assert shared(corpus("a") + corpus("b")) <= 2.2 * one
+
+
 def test_a_large_group_of_near_copies_costs_one_comparison_each(make, prose, words, monkeypatch):
     base, rng = prose(7, 100).split(), random.Random(3)
     texts = []
