@@ -37,12 +37,13 @@ def template_tokens(text: Column) -> Column:
     right after a number. Punctuation is dropped. A text without tokens gives an empty array.
     """
     text = F.coalesce(text, F.lit(""))
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},;:]\s)(\p{Lu}[\p{L}\p{M}]++)", f"{NAME}$1")
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{M}}{NAME}])(\p{{Lu}}[\p{{L}}\p{{M}}]*+)", f"{FIRST}$1")
+    # each pattern begins with what rules most places out; what stands before is looked at afterwards
+    text = F.regexp_replace(text, r"(\p{Lu}(?<=[\p{Ll},;:]\s\p{Lu})[\p{L}\p{M}]++)", f"{NAME}$1")
+    text = F.regexp_replace(text, rf"(\p{{Lu}}(?<![\p{{L}}\p{{M}}{NAME}]\p{{Lu}})[\p{{L}}\p{{M}}]*+)", f"{FIRST}$1")
     text = F.regexp_replace(text, r"([0-9]++(?:[.,][0-9]++)*+)", f" {NUMBER}$1 ")
     text = F.lower(text)
     # marks inside a number are part of its value
-    between = rf"(?:[^\p{{L}}\p{{M}}0-9.,{NAME}{NUMBER}{UNIT}{FIRST}]|(?<![0-9])[.,]|[.,](?![0-9]))++"
+    between = rf"(?![a-z])(?:[^\p{{L}}\p{{M}}0-9.,{NAME}{NUMBER}{UNIT}{FIRST}]|[.,](?<![0-9][.,])|[.,](?![0-9]))++"
     text = F.trim(F.regexp_replace(text, between, " "))
     text = F.regexp_replace(text, rf"({NUMBER}[0-9.,]*+ )({UNITS})(?= |$)", f"$1{UNIT}$2")
     return F.array_remove(F.split(text, " "), "")
@@ -56,6 +57,7 @@ def _plain(token: Column) -> Column:
     return F.ltrim(token, F.lit(NAME + NUMBER + UNIT + FIRST))
 
 
+_FORMS = ("_names", "_capitals", "_words")
 #: how a token is hashed in windows: a word by its letters, a value by its kind
 _WORD, _NAME, _NUMBER, _UNIT, _FIRST = range(5)
 
@@ -77,25 +79,12 @@ def _with_forms(rows: DataFrame) -> DataFrame:
     return rows.withColumns({name: F.zip_with("_values", "_kinds", form) for name, form in forms.items()})
 
 
-def _with_windows(rows: DataFrame, form: str, size: int) -> DataFrame:
-    """Adds a column of the hash of each window of ``size`` tokens, by start; see ``_windows``.
+def _window(form: str, at: Column, size: int) -> Column:
+    """Hash of the ``size`` tokens from place ``at`` in a form; null where fewer are left.
 
-    Neighbouring hashes are joined to pairs, pairs to fours and so on, so a window costs log2(size) steps.
-    Each step is a column of its own: as one expression the steps would be worked out again for each use.
+    For rows of one place each: Spark compiles it there, which it cannot do with lambdas over arrays.
     """
-    if size == 1 or f"{form}_{size}" in rows.columns:
-        return rows
-    half = (size + 1) // 2
-    rows = _with_windows(rows, form, half)
-    left = form if half == 1 else f"{form}_{half}"
-    later = F.slice(left, size - half + 1, F.size(left))
-    return rows.withColumn(f"{form}_{size}", F.zip_with(left, later, lambda a, b: F.xxhash64(a, b)))
-
-
-def _windows(form: str, size: int) -> Column:
-    """The column that ``_with_windows`` has added, cut to whole windows; none in a shorter text."""
-    whole = F.slice(form if size == 1 else f"{form}_{size}", F.lit(1), F.size(form) - (size - 1))
-    return F.when(F.size(form) >= size, whole).otherwise(F.array().cast("array<bigint>"))
+    return F.when(at + size <= F.size(form), F.xxhash64(*[F.get(form, at + i) for i in range(size)]))
 
 
 def _words(tokens: Column) -> Column:
@@ -121,16 +110,14 @@ def item_texts(items: DataFrame, size: int = WINDOW, min_literals: int = MIN_LIT
 
 def item_windows(texts: DataFrame, size: int = WINDOW) -> DataFrame:
     """item_id, variant, place, length and window: what is looked for in documents. Of a long exact text its first ``size`` values are."""
-    rows = _with_forms(texts).withColumn("length", F.least("width", F.lit(size)))
-    found = []
-    for form in ("_names", "_capitals", "_words", "_values"):
-        for length in range(1, size + 1):
-            rows = _with_windows(rows, form, length)
-        hashes = F.coalesce(*[F.when(F.col("length") == n, _windows(form, n)) for n in range(1, size + 1)])
-        rows = rows.withColumn(f"{form}_all", hashes)
-        found.append(F.transform("places", lambda p: F.struct(p.alias("place"), F.get(f"{form}_all", p).alias("window"))))  # noqa: B023
-    chosen = F.when(F.col("exact"), found[3]).otherwise(F.concat(*found[:3]))
-    return rows.select("item_id", "variant", "length", "exact", F.explode(chosen).alias("at")).select("item_id", "variant", "length", "exact", "at.*").distinct()
+    rows = _with_forms(texts).withColumn("length", F.least("width", F.lit(size))).withColumn("place", F.explode("places"))
+
+    def hashed(form: str) -> Column:
+        return F.coalesce(*[F.when(F.col("length") == n, _window(form, F.col("place"), n)) for n in range(1, size + 1)])
+
+    forms = F.array(*[hashed(form) for form in _FORMS])
+    chosen = F.when(F.col("exact"), F.array(hashed("_values"))).otherwise(forms)
+    return rows.select("item_id", "variant", "length", "exact", "place", F.explode(chosen).alias("window")).distinct()
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -222,15 +209,19 @@ def contaminated(
     lengths = {(r.length, r.exact) for r in windows.select("length", "exact").distinct().collect()}  # no more than 2 * size
     own = keyed(docs)
     rolled = _with_forms(own.select("doc_id", "body", template_tokens(F.col("text")).alias("tokens")))
+    # outer: for plain posexplode Spark adds a filter on the size, in which it works the tokens out once more
+    rolled = rolled.select("doc_id", "body", *_FORMS, "_values", F.posexplode_outer("_values").alias("pos", "_value")).drop("_value")
     looked = []
     for length, exact in sorted(lengths):
-        for form in ["_values"] if exact else ["_names", "_capitals", "_words"]:
-            rolled = _with_windows(rolled, form, length)
-            looked.append(F.struct(F.lit(length).alias("length"), F.lit(exact).alias("exact"), _windows(form, length).alias("found")))
-    none = F.array().cast("array<struct<length:int,exact:boolean,found:array<bigint>>>")
-    rolled = rolled.select("doc_id", "body", F.explode(F.array(*looked) if looked else none).alias("form"))
-    rolled = rolled.select("doc_id", "body", "form.length", "form.exact", F.posexplode("form.found").alias("pos", "window"))
-    hits = rolled.join(windows, ["window", "length", "exact"])
+        first, *others = ["_values"] if exact else _FORMS
+        kept = _window(first, F.col("pos"), length)
+        looked.append(kept)
+        for form in others:  # most windows have no capitals: their forms are one
+            hashed = _window(form, F.col("pos"), length)
+            looked.append(F.when(hashed != kept, hashed))
+    rolled = rolled.select("doc_id", "body", "pos", F.explode(F.array(*looked) if looked else F.array().cast("array<bigint>")).alias("window"))
+    # on the hash alone, as one long number is looked up fastest: windows of other lengths have other hashes
+    hits = rolled.filter("window IS NOT NULL").join(windows.drop("length", "exact"), "window")
     met = hits.select("doc_id", "body", "item_id", "variant", (F.col("pos") - F.col("place")).alias("diagonal")).distinct()
     met = stages.write("item-diagonals", met)
 
