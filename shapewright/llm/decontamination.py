@@ -211,14 +211,15 @@ def contaminated(
     rolled = _with_forms(own.select("doc_id", "body", template_tokens(F.col("text")).alias("tokens")))
     # outer: for plain posexplode Spark adds a filter on the size, in which it works the tokens out once more
     rolled = rolled.select("doc_id", "body", *_FORMS, "_values", F.posexplode_outer("_values").alias("pos", "_value")).drop("_value")
-    looked = []
+    # a column for each hash first, so that it is worked out once and the compiled method stays small enough for the JVM to compile
+    hashed, looked = {}, []
     for length, exact in sorted(lengths):
-        first, *others = ["_values"] if exact else _FORMS
-        kept = _window(first, F.col("pos"), length)
-        looked.append(kept)
-        for form in others:  # most windows have no capitals: their forms are one
-            hashed = _window(form, F.col("pos"), length)
-            looked.append(F.when(hashed != kept, hashed))
+        forms = ["_values"] if exact else _FORMS
+        names = [f"{form}_{length}" for form in forms]
+        hashed |= {name: _window(form, F.col("pos"), length) for name, form in zip(names, forms, strict=True)}
+        looked.append(F.col(names[0]))
+        looked += [F.when(F.col(name) != F.col(names[0]), F.col(name)) for name in names[1:]]  # most windows have no capitals: their forms are one
+    rolled = rolled.select("doc_id", "body", "pos", *[window.alias(name) for name, window in hashed.items()])
     rolled = rolled.select("doc_id", "body", "pos", F.explode(F.array(*looked) if looked else F.array().cast("array<bigint>")).alias("window"))
     # on the hash alone, as one long number is looked up fastest: windows of other lengths have other hashes
     hits = rolled.filter("window IS NOT NULL").join(windows.drop("length", "exact"), "window")
