@@ -5,7 +5,8 @@ a corpus: documents that share nothing with a pivot are at distance 1 from it, a
 triangle inequality would copy all of them everywhere. So regions start as cells of documents that share
 one of their rarest shingles (two linked documents always do), and within a cell:
 
-* a pivot is chosen and met by every member: sketches bound the distance from below, a short one that
+* a cell with few members is compared pair by pair at once, where what can still be shared allows a link. In others
+  a pivot is chosen and met by every member: sketches bound the distance from below, a short one that
   every member carries, then one that grows with the set, and where they leave a link possible the whole texts are compared. Members within EPS link to the pivot;
 * they are one region, the others the next. By the triangle inequality a link from the first ends within
   twice EPS of the pivot, so others that may be there are copied to it (the window);
@@ -33,14 +34,16 @@ NEAR, OF = 3, 4  # a link needs NEAR / OF of the union in common
 EPS = 1 - NEAR / OF
 ROUNDS = 3
 CORNERS, FILL = 256, 12  # fewest classes of shingles that a sketch counts, and most shingles a class has on average
-LEAF = 8  # regions with no more members are compared pair by pair
+LEAF = 8  # cells and regions with no more members are compared pair by pair
 FREQUENT = 16  # a shingle seen this often is listed as frequent
 LISTED = 4 << 20  # most shingles that the list holds: 32 MB
 HOT = 10  # power of 2 of the times from which a shingle's rows are spread
 HELD = 4 << 20  # shingles that a task holds before it hands their counts on
 MINI = 8  # long numbers of the parity sketch that members carry
+MARKS = 1 << 25  # bits of the map of texts to compare: 4 MB, with its keys 8
 _MINI = [f"m{i}" for i in range(MINI)]
 _PLACES = "key long, cell long, sid binary, n int, rest int, core boolean, known boolean"
+_SHARED = "cell long, sid binary, n int, rest int, core boolean, other binary"
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -226,8 +229,8 @@ def postings(docs: DataFrame, listed: np.ndarray, bits: int, k: int = SHINGLE) -
     """Places of each set in its cells: cell (a shingle), sid, n, rest (shingles from this one on), core.
 
     A set of n shingles, rarest first, is in the cells of so many of its first that any linked set shares
-    one of them. ``core`` marks those that a set at least as large must share. ``key`` is the cell, but
-    for frequent shingles (``known``), whose cells certainly have several members, it spreads the rows.
+    one of them. ``core`` marks those that a set at least as large must share. ``key`` is the cell, which is
+    null then, but for frequent shingles (``known``), whose cells certainly have several members, it spreads the rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(listed)
 
@@ -254,7 +257,7 @@ def postings(docs: DataFrame, listed: np.ndarray, bits: int, k: int = SHINGLE) -
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.where(known, spread, value).view(np.int64)),
-                    pa.array(value.view(np.int64)),
+                    pa.array(value.view(np.int64), mask=~known),
                     sid.take(pa.array(row)),
                     pa.array(n.astype(np.int32)),
                     pa.array((n - pos).astype(np.int32)),
@@ -267,32 +270,81 @@ def postings(docs: DataFrame, listed: np.ndarray, bits: int, k: int = SHINGLE) -
     return docs.select("text").mapInArrow(scan, _PLACES)
 
 
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal keys."""
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(key), 1), dtype=bool), key[1:] != key[:-1]]))
+    return first, np.diff(np.append(first, len(key)))
+
+
+def _once(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Of rows in order of key and sid those that differ from the one before."""
+    if rows.num_rows < 2:
+        return rows
+    key, sid = rows.column("key").to_numpy(), rows.column("sid").dictionary_encode().indices.to_numpy()
+    return rows.filter(pa.array(np.concatenate([[True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])])))
+
+
+def _members_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    cell = pc.coalesce(rows.column("cell"), rows.column("key"))
+    rest = [rows.column(c) for c in ("sid", "n", "rest", "core")]
+    return pa.RecordBatch.from_arrays([cell, *rest, pa.nulls(rows.num_rows, pa.binary())], names=["cell", "sid", "n", "rest", "core", "other"])
+
+
+def _cell_pairs(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """The pairs in cells of at most ``LEAF`` members that may link; see ``_leaf_pairs``."""
+    key, n, rest = (rows.column(c).to_numpy() for c in ("key", "n", "rest"))
+    core = rows.column("core").to_numpy(zero_copy_only=False)
+    one, two = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for step in range(1, min(LEAF, len(key))):
+        enough = (NEAR + OF) * np.minimum(rest[:-step], rest[step:]) >= NEAR * (n[:-step] + n[step:])
+        at = np.flatnonzero((key[:-step] == key[step:]) & enough & (core[:-step] | core[step:]))
+        one.append(at)
+        two.append(at + step)
+    i, j = np.concatenate(one), np.concatenate(two)
+    empty = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.bool_())]
+    both, sid = pa.array((n[i] + n[j]).astype(np.int32)), rows.column("sid")
+    return pa.RecordBatch.from_arrays([empty[0], sid.take(pa.array(i)), both, empty[1], empty[2], sid.take(pa.array(j))], names=["cell", "sid", "n", "rest", "core", "other"])
+
+
 def shared_cells(places: DataFrame) -> DataFrame:
-    """The places whose cell may have several members: cell, sid, n, rest, core. Streams rows sorted by key."""
-    names = ["cell", "sid", "n", "rest", "core"]
+    """What cells with several members yield: cell, sid, n, rest, core of each member, or the pairs of a small cell.
+
+    A cell of at most ``LEAF`` members is compared at once: sid and other are two sets that may link, n the sum of their
+    sizes, the rest null. Members of larger cells have no other. Streams rows sorted by key and set.
+    """
+
+    def cells(rows: pa.RecordBatch, large: int | None) -> Iterator[pa.RecordBatch]:
+        """Of whole cells, but that the first may go on the one of key ``large``."""
+        key = rows.column("key").to_numpy()
+        first, times = _runs(key)
+        rows = _once(rows.filter(pa.array(np.repeat((times > 1) | (key[first] == large), times))))
+        key = rows.column("key").to_numpy()
+        first, times = _runs(key)
+        many = np.repeat((times > LEAF) | (key[first] == large), times)
+        yield _members_of(rows.filter(pa.array(many)))
+        yield _cell_pairs(rows.filter(pa.array(~many)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, met = None, False  # the last row so far, and whether the one before has its key
+        held, large = None, None  # members of the last cell while they are few, the key of the last cell that has many
         for batch in batches:
-            if not batch.num_rows:
+            yield _members_of(batch.filter(batch.column("known")))
+            rows = batch.filter(pc.invert(batch.column("known")))
+            if held is not None and held.num_rows:
+                rows = pa.Table.from_batches([held, rows]).combine_chunks().to_batches()[0]
+            if not rows.num_rows:
                 continue
-            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             key = rows.column("key").to_numpy()
-            same = key[1:] == key[:-1]
-            many = rows.column("known").to_numpy(zero_copy_only=False).copy()
-            many[1:] |= same
-            many[:-1] |= same
-            many[0] |= met
-            last = rows.num_rows - 1
-            met = bool(same[-1]) if last else met
-            yield rows.slice(0, last).select(names).filter(pa.array(many[:last]))
-            held = rows.slice(last)
+            tail = int(_runs(key)[0][-1])
+            yield from cells(rows.slice(0, tail), large)
+            held = _once(rows.slice(tail))
+            if held.num_rows > LEAF or key[-1] == large:
+                yield _members_of(held)
+                held, large = None, key[-1]
         if held is not None:
-            known = held.column("known")[0].as_py()
-            yield held.select(names).filter(pa.array([known or met]))
+            yield from cells(held, large)
 
-    ordered = places.repartition("key").sortWithinPartitions("key")
-    return ordered.mapInArrow(scan, "cell long, sid binary, n int, rest int, core boolean")
+    ordered = places.repartition("key").sortWithinPartitions("key", "sid")
+    return ordered.mapInArrow(scan, _SHARED)
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -403,6 +455,14 @@ def _leaf_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.col("sid").alias("a"), F.col("_sid").alias("b")).distinct()
 
 
+def _alike(pairs: DataFrame, minis: DataFrame) -> DataFrame:
+    """a, b of the pairs of small cells that parity sketches do not contradict; see ``_leaf_pairs``."""
+    one = minis.withColumnRenamed("sid", "a")
+    two = minis.select(F.col("sid").alias("b"), *[F.col(m).alias(f"_{m}") for m in _MINI])
+    like = _odd("", "_") * (NEAR + OF) <= F.col("n") * (OF - NEAR)
+    return pairs.select(F.col("sid").alias("a"), F.col("other").alias("b"), "n").join(one, "a").join(two, "b").filter(like).select("a", "b")
+
+
 def rings(members: DataFrame, bounds: DataFrame, linked: DataFrame, step: int) -> DataFrame:
     """Members in the regions around their pivots: those near it, and the others.
 
@@ -423,6 +483,23 @@ def rings(members: DataFrame, bounds: DataFrame, linked: DataFrame, step: int) -
     return placed.select(F.xxhash64("region", "at.ring").alias("region"), "sid", "n", "rest", "core", "at.away")
 
 
+def _perhaps(rows: DataFrame, key: str, chosen: DataFrame, other: str) -> DataFrame:
+    """The rows whose ``key`` may be among the chosen ones' ``other``, by a map of ``MARKS`` bits, so that few of them move to a join.
+
+    Both are 64-bit hashes. With many more chosen ones than bits more rows pass; none that is chosen is ever left out.
+    """
+
+    def word(of: str):
+        return F.expr(f"shiftright({of} & {MARKS - 1}L, 6)")
+
+    def bit(of: str) -> str:
+        return f"shiftleft(1L, cast({of} & 63 as int))"
+
+    words = chosen.groupBy(word(other).alias("_word")).agg(F.expr(f"bit_or({bit(other)})").alias("_bits"))
+    marked = rows.withColumn("_word", word(key)).join(F.broadcast(words), "_word")
+    return marked.filter(f"(_bits & {bit(key)}) <> 0").drop("_word", "_bits")
+
+
 def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) with low, a bound below their distance from the sketches alone.
 
@@ -430,7 +507,8 @@ def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
     2s / (sum of sizes + s) apart.
     """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sketches = known.select("sid", "n", "sketch").join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    sketches = _perhaps(known.select("sid", "n", "sketch"), "xxhash64(sid)", wanted, "xxhash64(sid)")
+    sketches = sketches.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
     one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
@@ -452,7 +530,7 @@ def _texts_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, stages: Stag
     chosen = known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "body")).alias("row"))
     chosen = chosen.join(wanted, "sid", "left_semi").select("sid", F.col("row.doc_id").alias("_id"), F.col("row.body").alias("_body"))
     chosen = stages.write("chosen", chosen)
-    named = docs.select("doc_id", F.xxhash64("text").alias("body"), "text")
+    named = _perhaps(docs.select("doc_id", F.xxhash64("text").alias("body"), "text"), "body", chosen, "_body")
     same = named["doc_id"].eqNullSafe(chosen["_id"]) & (named["body"] == chosen["_body"])
     return named.join(chosen, same).select("sid", "text").dropDuplicates(["sid"])
 
@@ -476,7 +554,7 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
     known = known.drop(*_MINI)
     cells = stages.write("cells", shared_cells(postings(docs, order, bits, k)).distinct())
 
-    members = size_bands(cells).withColumn("label", F.col("sid"))
+    members = size_bands(cells.filter("other IS NULL")).withColumn("label", F.col("sid"))
     links = labels = None
     for number in range(rounds + 1):
         able = _open_members(members, stages.write(f"open-{number}", _unfinished(members)))
@@ -484,6 +562,8 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
         regions = stages.write(f"mixed-{number}", _unfinished(able).select("region", "members"))
         small = F.lit(True) if number == rounds else F.col("members") <= LEAF
         pairs = _leaf_pairs(able.join(regions.filter(small), "region", "left_semi"))
+        if number == 0:
+            pairs = pairs.unionByName(_alike(cells.filter("other IS NOT NULL"), minis)).distinct()
         first = F.min(F.struct(F.bit_count("away"), "sid", "n", *_MINI)).alias("at")
         pivots = able.groupBy("region").agg(first).select("region", F.col("at.sid").alias("pivot"), *[F.col(f"at.{c}").alias(f"pivot_{c}") for c in ("n", *_MINI)])
         pivots = stages.write(f"pivots-{number}", pivots.join(regions.filter(~small), "region", "left_semi"))
@@ -496,6 +576,8 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
             near = members.filter((F.col("sid") != F.col("pivot")) & (F.col("least_low") <= 2 * EPS + 1e-9))
             pairs = pairs.unionByName(near.select(F.col("sid").alias("a"), F.col("pivot").alias("b"))).distinct()
         pairs = stages.write(f"pairs-{number}", pairs)
+        if number == 0 and deeper:
+            minis = stages.write("minis", able.select("sid", *_MINI).dropDuplicates(["sid"]))  # no others are members later
         bounds = stages.write(f"bounds-{number}", _bounds(pairs, known))
         near = stages.write(f"near-{number}", bounds.filter(F.col("low") <= EPS + 1e-9).select("a", "b"))
         texts = stages.write("texts", _texts_of(docs, known, near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), stages))

@@ -150,6 +150,55 @@ def test_a_large_group_of_near_copies_costs_one_comparison_each(make, prose, wor
     assert sum(compared) < 150 * 12
 
 
+def test_pairs_of_near_copies_move_once(make, prose, monkeypatch):
+    """Two sets that share many cells are one row after the cells, and no text without a pair is moved to be compared."""
+    texts = [f"{prose(i, 80)} q{i}{c}" for i in range(20) for c in "ab"] + [prose(700 + i, 80) for i in range(30)]
+    written = {}
+    write, perhaps = jaccard.Stages.write, jaccard._perhaps
+
+    def counted(self, name, df, **more):
+        written[name] = (out := write(self, name, df, **more)).count()
+        return out
+
+    def passed(rows, key, chosen, other):
+        written[key] = (out := perhaps(rows, key, chosen, other)).count()
+        return out
+
+    monkeypatch.setattr(jaccard.Stages, "write", counted)
+    monkeypatch.setattr(jaccard, "_perhaps", passed)
+    got = {r.doc_id: r.component_id for r in jaccard.link_classes(make(texts)).collect()}
+    assert got == {i: c for i, (_, c) in brute.classes(list(enumerate(texts))).items()}
+    assert [written[x] for x in ("cells", "able-0", "pairs-0", "texts", "body", "xxhash64(sid)")] == [20, 0, 20, 40, 40, 40]
+
+
+def test_cells_of_any_size_over_batches(spark):
+    """Small cells yield pairs, larger ones members, wherever batches end; repeated sets count once."""
+    sizes = [1, 2, 3, jaccard.LEAF, jaccard.LEAF + 1, 2, 40, 1, jaccard.LEAF]
+    rows = [(c, None, bytes([i]) * 16, 100, 90 + i % 3, i % 2 == 0, False) for c, m in enumerate(sizes) for i in range(m)]
+    rows += [r for r in rows if r[0] in (0, 2, 4, 6)] * 3
+    rows += [(1000 + i, 99, bytes([i]) * 16, 100, 90, True, True) for i in range(3)]
+    places = spark.createDataFrame(rows, jaccard._PLACES)
+    pairs = {(bytes([i]) * 16, bytes([j]) * 16) for m in sizes if m <= jaccard.LEAF for i in range(m) for j in range(i + 1, m) if i % 2 == 0 or j % 2 == 0}
+    members = {(c, bytes([i]) * 16) for c, m in enumerate(sizes) if m > jaccard.LEAF for i in range(m)} | {(99, bytes([i]) * 16) for i in range(3)}
+    for size in (1, 3, 7, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))
+        try:
+            got = jaccard.shared_cells(places.repartition(3)).distinct().collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert {(bytes(r.sid), bytes(r.other)) for r in got if r.other is not None} == pairs
+        assert sorted((r.cell, bytes(r.sid)) for r in got if r.other is None) == sorted(members)
+        assert all(r.n == (100 if r.other is None else 200) for r in got)
+
+
+def test_a_full_map_leaves_no_chosen_row_out(spark, monkeypatch):
+    rows, chosen = spark.range(1000).selectExpr("xxhash64(id) AS k"), spark.range(0, 1000, 10).selectExpr("xxhash64(id) AS o")
+    want = {r.o for r in chosen.collect()}
+    assert {r.k for r in jaccard._perhaps(rows, "k", chosen, "o").collect()} == want
+    monkeypatch.setattr(jaccard, "MARKS", 64)
+    assert {r.k for r in jaccard._perhaps(rows, "k", chosen, "o").collect()} >= want
+
+
 def test_removed_windows_equal_brute_force(make, prose):
     passage = prose(50, 70)
     texts = [prose(i, 60) + " " + passage + " " + prose(i + 500, 40) for i in range(8)]
