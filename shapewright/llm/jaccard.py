@@ -500,15 +500,21 @@ def _perhaps(rows: DataFrame, key: str, chosen: DataFrame, other: str) -> DataFr
     return marked.filter(f"(_bits & {bit(key)}) <> 0").drop("_word", "_bits")
 
 
-def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
+def _one_of_each(known: DataFrame) -> DataFrame:
+    """sid, n, sketches, doc_id and body of each set, from the row of smallest id that has the set."""
+    rest = [c for c in known.columns if c not in ("sid", "doc_id", "body")]
+    one = known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "body", *rest)).alias("row"))
+    return one.select("sid", "row.*")
+
+
+def _bounds(pairs: DataFrame, one_of_each: DataFrame) -> DataFrame:
     """The pairs (a, b) with low, a bound below their distance from the sketches alone.
 
     Counts by class differ by no more than the sets do, and sets that differ in s shingles are
     2s / (sum of sizes + s) apart.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sketches = _perhaps(known.select("sid", "n", "sketch"), "xxhash64(sid)", wanted, "xxhash64(sid)")
-    sketches = sketches.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid"))
+    sketches = _perhaps(one_of_each.select("sid", "n", "sketch"), "xxhash64(sid)", wanted, "xxhash64(sid)")
     one = sketches.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
     two = sketches.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
 
@@ -522,13 +528,12 @@ def _bounds(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(scan, "a binary, b binary, low double")
 
 
-def _texts_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, stages: Stages) -> DataFrame:
-    """sid and text of the wanted sets, from the row of smallest id that has the set.
+def _texts_of(docs: DataFrame, one_of_each: DataFrame, wanted: DataFrame, stages: Stages) -> DataFrame:
+    """sid and text of the wanted sets.
 
     The rows to read are written first, so that Spark knows whether they are few enough to leave the texts in place.
     """
-    chosen = known.filter("sid IS NOT NULL").groupBy("sid").agg(F.min(F.struct("doc_id", "body")).alias("row"))
-    chosen = chosen.join(wanted, "sid", "left_semi").select("sid", F.col("row.doc_id").alias("_id"), F.col("row.body").alias("_body"))
+    chosen = one_of_each.join(wanted, "sid", "left_semi").select("sid", F.col("doc_id").alias("_id"), F.col("body").alias("_body"))
     chosen = stages.write("chosen", chosen)
     named = _perhaps(docs.select("doc_id", F.xxhash64("text").alias("body"), "text"), "body", chosen, "_body")
     same = named["doc_id"].eqNullSafe(chosen["_id"]) & (named["body"] == chosen["_body"])
@@ -550,8 +555,8 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
     order = frequency_list(stages.write("frequent", frequent_shingles(scanned.filter("slice IS NOT NULL"))))
     known = stages.write("known", scanned.filter("slice IS NULL").drop("slice", "codes", "times"))
     stages.drop("sets", "frequent")
-    minis = stages.write("minis", known.filter("sid IS NOT NULL").select("sid", *_MINI).dropDuplicates(["sid"]))
-    known = known.drop(*_MINI)
+    one = stages.write("one", _one_of_each(known))
+    minis = one.select("sid", *_MINI)
     cells = stages.write("cells", shared_cells(postings(docs, order, bits, k)).distinct())
 
     members = size_bands(cells.filter("other IS NULL")).withColumn("label", F.col("sid"))
@@ -576,23 +581,24 @@ def link_classes(docs: DataFrame, k: int = SHINGLE, rounds: int = ROUNDS) -> Dat
             near = members.filter((F.col("sid") != F.col("pivot")) & (F.col("least_low") <= 2 * EPS + 1e-9))
             pairs = pairs.unionByName(near.select(F.col("sid").alias("a"), F.col("pivot").alias("b"))).distinct()
         pairs = stages.write(f"pairs-{number}", pairs)
-        if number == 0 and deeper:
-            minis = stages.write("minis", able.select("sid", *_MINI).dropDuplicates(["sid"]))  # no others are members later
-        bounds = stages.write(f"bounds-{number}", _bounds(pairs, known))
+        bounds = stages.write(f"bounds-{number}", _bounds(pairs, one))
         near = stages.write(f"near-{number}", bounds.filter(F.col("low") <= EPS + 1e-9).select("a", "b"))
-        texts = stages.write("texts", _texts_of(docs, known, near.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), stages))
+        texts = stages.write("texts", _texts_of(docs, one, near.select(F.explode(F.array("a", "b")).alias("sid")), stages))
         counted = stages.write(f"overlaps-{number}", overlaps(near, texts, k))
         found = counted.filter(_linked()).select("a", "b")
         links = stages.write(f"links-{number}", found if links is None else links.unionByName(found))
         labels = classes_of(links, stages, f"classes-{number}")
         if not deeper:
             break
+        if number == 0:
+            one = stages.write("one", one.join(able.select("sid"), "sid", "left_semi"))  # no others are members later
+            minis = one.select("sid", *_MINI)
         placed = stages.write(f"rings-{number}", rings(members, bounds, found, number + 1))
         members = _labelled(placed, labels)
         stages.drop(f"able-{number}", f"open-{number}", f"members-{number}", f"overlaps-{number}", f"pairs-{number}", f"rings-{number - 1}")
-    stages.drop("texts", "cells", "minis")
+    stages.drop("texts", "cells", "one")
 
-    rows = known.drop("body", "sketch")
+    rows = known.select("doc_id", "sid", "n")
     rows = rows.join(labels, "sid", "left")
     rows = stages.write("rows", rows.select("doc_id", "n", F.coalesce("label", "sid").alias("class")))
     least = stages.write("least", rows.filter("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("size")))
